@@ -16,6 +16,7 @@ ignored; rows repeat as they come in; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -29,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import common
 
 #: Bytes of text that a task encodes at once; bounds memory, never results.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 32_000_000
 #: Pre-tokens up to so many bytes are merged side by side under one queue, longer ones each on their own.
 SHORT = 64
+#: So many at a time; bounds memory.
+SIDE_BY_SIDE = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -181,10 +184,18 @@ class Pairs:
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     values.append(rank)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
-        self.values = np.append(np.array(values, np.int64)[order], -1)
-        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        # an open-addressing table, a quarter full at most
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        left, ranks_left = np.array(keys, np.int64), np.array(values, np.int32)
+        slot = self.slot(left)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = left[free]
+            own = self.keys[slot] == left
+            self.values[slot[own]] = ranks_left[own]
+            left, ranks_left, slot = left[~own], ranks_left[~own], (slot[~own] + 1) & ((1 << self.bits) - 1)
+        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         bound = max(ranks.values()) + 1
         self.length = np.zeros(bound, np.int64)
         for piece, rank in ranks.items():
@@ -194,11 +205,23 @@ class Pairs:
         for piece, rank in ranks.items():
             self.text[self.start[rank] : self.start[rank] + len(piece)] = np.frombuffer(piece, np.uint8)
 
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it makes no piece."""
-        want = a << 32 | b
-        at = np.searchsorted(self.keys, want)
-        return np.where(self.keys[at] == want, self.values[at], -1)
+        want = a.astype(np.int64) << 32 | b
+        slot = self.slot(want)
+        found = self.keys[slot]
+        out = np.where(found == want, self.values[slot], np.int32(-1))
+        again = np.flatnonzero((found != want) & (found >= 0))
+        while len(again):
+            slot[again] = (slot[again] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot[again]]
+            hit = found == want[again]
+            out[again[hit]] = self.values[slot[again[hit]]]
+            again = again[~hit & (found >= 0)]
+        return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of all ids, end to end."""
@@ -216,11 +239,11 @@ def merge_many(encoder: Encoder, pairs: Pairs, tokens: list[bytes]) -> tuple[np.
     lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ids = pairs.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
     n, ends = len(ids), np.cumsum(lens)
-    owner = np.repeat(np.arange(len(tokens)), lens)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    owner = np.repeat(np.arange(len(tokens), dtype=np.int32), lens)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     after[ends[lens > 0] - 1] = -1
     before[(ends - lens)[lens > 0]] = -1
-    wait, alive, queue = np.full(n, -1, np.int64), np.ones(n, bool), encoder.queue
+    wait, alive, queue = np.full(n, -1, np.int32), np.ones(n, bool), encoder.queue
 
     def put(at: np.ndarray) -> None:
         ranks = wait[at]
@@ -241,12 +264,16 @@ def merge_many(encoder: Encoder, pairs: Pairs, tokens: list[bytes]) -> tuple[np.
     put(left)
     while (top := queue.take()) is not None:
         rank, at = top
-        at = np.unique(np.array(at, np.int64)) if len(at) > 1 else np.array(at, np.int64)
+        at = np.array(at, np.int64)
         at = at[wait[at] == rank]  # the others are stale
         if not len(at):
             continue
         if len(at) > 1:
+            at.sort()
             own = owner[at]
+            if (at[1:] == at[:-1]).any():  # put twice, by its left and its right neighbour
+                at = np.unique(at)
+                own = owner[at]
             first = np.concatenate([[True], own[1:] != own[:-1]])
             if not first.all():
                 queue.add(rank, at[~first].tolist())
@@ -278,8 +305,8 @@ _WIDE = re.compile(r" \s|\s ")
 _BORDER = regex.compile(r"(?<=\S)\s")
 
 
-def encode_texts(encoder: Encoder, pairs: Pairs, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Of whole texts: ids in decimal joined by blanks; all ids end to end; where each text's begin."""
+def encode_texts(encoder: Encoder, pairs: Pairs, texts: pa.Array) -> list[tuple[int, bytes, bytes]]:
+    """Of each whole text: the number of ids, the ids in decimal joined by blanks, the bytes that they decode to."""
     lists = pc.split_pattern(texts, " ")
     flat, off = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     coded = flat.dictionary_encode()
@@ -304,23 +331,29 @@ def encode_texts(encoder: Encoder, pairs: Pairs, texts: pa.Array) -> tuple[list[
         else:
             first, _, _ = text.partition(" ")
             words.append(np.concatenate([np.array([add(first)] if first else [], np.int64), index[a + 1 : b]]))
-    tokens: dict[bytes, int] = {}
+    tokens: dict[str, int] = {}
     flat_tokens: list[int] = []
     starts = [0]
     for piece in names:
-        for t in encoder.find(piece):
-            t = t.encode("utf-8")
-            flat_tokens.append(tokens.setdefault(t, len(tokens)))
+        if piece.isascii() and piece[1:].isalpha():  # one pre-token
+            flat_tokens.append(tokens.setdefault(piece, len(tokens)))
+        else:
+            for t in encoder.find(piece):
+                flat_tokens.append(tokens.setdefault(t, len(tokens)))
         starts.append(len(flat_tokens))
+    tokens = {t.encode("utf-8"): i for t, i in tokens.items()}
     order = list(tokens)
     get = encoder.ranks.get
     pool = np.fromiter((get(t, -1) for t in order), np.int64, len(order))
     start, count = np.arange(len(order)), np.ones(len(order), np.int64)
     split = np.flatnonzero(pool < 0).tolist()
     short = [i for i in split if len(order[i]) <= SHORT]
-    ids, at = merge_many(encoder, pairs, [order[i] for i in short])
-    start[short], count[short] = len(pool) + at[:-1], np.diff(at)
-    pools, held = [pool, ids], len(pool) + len(ids)
+    pools, held = [pool], len(pool)
+    for some in (short[i : i + SIDE_BY_SIDE] for i in range(0, len(short), SIDE_BY_SIDE)):
+        ids, at = merge_many(encoder, pairs, [order[i] for i in some])
+        start[some], count[some] = held + at[:-1], np.diff(at)
+        pools.append(ids)
+        held += len(ids)
     for i in split:
         if len(order[i]) > SHORT:
             pools.append(np.array(encoder.merge(order[i]), np.int64))
@@ -330,10 +363,11 @@ def encode_texts(encoder: Encoder, pairs: Pairs, texts: pa.Array) -> tuple[list[
     flat_ids, piece_at = gather(np.concatenate(pools), start, count, np.array(flat_tokens, np.int64), np.array(starts))
     decimal = list(map(str, flat_ids.tolist()))
     said = [" ".join(decimal[a:b]).encode() for a, b in zip(piece_at[:-1].tolist(), piece_at[1:].tolist(), strict=True)]
-    out = [b" ".join([said[w] for w in x.tolist()]) for x in words]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    all_ids, text_at = gather(flat_ids, piece_at[:-1], np.diff(piece_at), np.concatenate([*words, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum(sizes)]))
-    return out, all_ids, text_at, np.cumsum(np.concatenate([[0], pairs.length[all_ids]]))
+    ends = np.concatenate([[0], np.cumsum(pairs.length[flat_ids])])[piece_at].tolist()
+    plain = pairs.decode(flat_ids).tobytes()
+    back = [plain[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    sizes = np.diff(piece_at)
+    return [(int(sizes[x].sum()), b" ".join([said[w] for w in y]), b"".join([back[w] for w in y])) for x in words for y in (x.tolist(),)]
 
 
 def gather(values: np.ndarray, start: np.ndarray, count: np.ndarray, rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,16 +389,16 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
     schema = pa.schema([(key, pa.int64() if kind == "bigint" else pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
+        gc.disable()  # many small objects and no cycles
         encoder, pairs = Encoder(table.value[0], pattern), table.value[1]
         for keys, texts in common.chunks(batches, CHUNK_BYTES):
-            said, ids, at, ends = encode_texts(encoder, pairs, texts)
-            plain = memoryview(pairs.decode(ids))
+            n, said, plain = zip(*encode_texts(encoder, pairs, texts), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     keys.cast(schema.field(0).type),
-                    pa.array(np.diff(at), pa.int64()),
+                    pa.array(n, pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in said], pa.string()),
-                    pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(ends[at[:-1]].tolist(), ends[at[1:]].tolist(), strict=True)], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in plain], pa.string()),
                 ],
                 schema=schema,
             )
