@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> (module, function).
 QUERIES = {
     "op9_bitmap_bpe": ("bitmap_bpe", "op9"),
+    "op10_source_mix": ("source_mix", "op10"),
 }
 
 #: Query name -> (module, constant with DuckDB SQL).
-SQL: dict[str, tuple[str, str]] = {}
+SQL: dict[str, tuple[str, str]] = {
+    "op10_source_mix": ("source_mix", "OP10_SQL"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
