@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import common
 
 #: Bytes of text that a task encodes at once; bounds memory, never results.
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 12_000_000
 #: Pre-tokens up to so many bytes are merged side by side under one queue, longer ones each on their own.
 SHORT = 64
 #: So many at a time; bounds memory.
-SIDE_BY_SIDE = 300_000
+SIDE_BY_SIDE = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
