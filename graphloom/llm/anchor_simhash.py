@@ -159,12 +159,17 @@ def links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int)
     length, begin = np.diff(cut)[run], cut[:-1][run]
     found_u, found_v = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
 
+    held = 0
+
     def keep(u: np.ndarray, v: np.ndarray) -> None:
-        found_u.append(u)
-        found_v.append(v)
-        if sum(map(len, found_u)) > PAIRS_AT_ONCE // 4:
+        nonlocal held
+        if len(u):
+            found_u.append(u)
+            found_v.append(v)
+            held += len(u)
+        if held > PAIRS_AT_ONCE:
             a, b = forest(np.concatenate(found_u), np.concatenate(found_v))
-            found_u[:], found_v[:] = [a], [b]
+            found_u[:], found_v[:], held = [a], [b], 0
 
     few = np.flatnonzero(home & (length > 1) & (length < FLIP_FROM))
     ends = np.cumsum(length[few])
