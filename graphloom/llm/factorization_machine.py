@@ -135,14 +135,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
-    """Adagrad on the logistic loss; both classes weigh alike."""
+def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, stats: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
+    """Adagrad on the logistic loss over features(); both classes weigh alike."""
     model = Model()
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
     if not len(labels) or labels.min() == labels.max():
         model.bias = float(np.log(share / (1 - share)))
         return model
-    row, feature, value, stats = features(pa.array(texts, pa.large_string()))
     model.edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T.astype(np.float32)
     n, rng = len(labels), np.random.default_rng(seed)
     size = WORDS + len(STATS) * BINS
@@ -187,8 +186,24 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     if not picked:
         return Model()
     sample = spark.createDataFrame([(r.doc_id, r.quality) for r in picked], "doc_id long, quality int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    return fit([t or "" for t in texts["text"].to_pylist()], texts["quality"].to_numpy().astype(float))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    common.ship(spark)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                row, feature, value, stats = features(common.large_string(part.column(1)))
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                feature, value = feature.astype(np.int32), value.astype(np.float32)
+                own = [[x[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)] for x in (feature, value)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own[0], pa.binary()), pa.array(own[1], pa.binary()), pa.array([x.tobytes() for x in stats], pa.binary())], names=["doc_id", "quality", "feature", "value", "stats"])
+
+    got = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, feature binary, value binary, stats binary").toArrow().sort_by("doc_id")
+    each = [np.frombuffer(x, np.int32) for x in got["feature"].to_pylist()]
+    value = np.frombuffer(b"".join(got["value"].to_pylist()), np.float32)
+    stats = np.frombuffer(b"".join(got["stats"].to_pylist()), np.float32).reshape(-1, len(STATS))
+    return fit(np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each), value, stats, got["quality"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
