@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> (module, function).
 QUERIES = {
+    "op1_robust_outliers": ("robust_outliers", "op1"),
     "op4_factorization_machine": ("factorization_machine", "op4"),
     "op5_anchor_simhash": ("anchor_simhash", "op5"),
     "op9_bitmap_bpe": ("bitmap_bpe", "op9"),
