@@ -12,12 +12,14 @@ QUERIES = {
     "op1_robust_outliers": ("robust_outliers", "op1"),
     "op4_factorization_machine": ("factorization_machine", "op4"),
     "op5_anchor_simhash": ("anchor_simhash", "op5"),
+    "op7_warc_segments": ("warc_segments", "op7"),
     "op9_bitmap_bpe": ("bitmap_bpe", "op9"),
     "op10_source_mix": ("source_mix", "op10"),
 }
 
 #: Query name -> (module, constant with DuckDB SQL).
 SQL: dict[str, tuple[str, str]] = {
+    "op7_warc_segments": ("warc_segments", "OP7_SQL"),
     "op10_source_mix": ("source_mix", "OP10_SQL"),
 }
 
