@@ -13,6 +13,7 @@ QUERIES = {
     "op4_factorization_machine": ("factorization_machine", "op4"),
     "op5_anchor_simhash": ("anchor_simhash", "op5"),
     "op7_warc_segments": ("warc_segments", "op7"),
+    "op8_line_blocks": ("line_blocks", "op8"),
     "op9_bitmap_bpe": ("bitmap_bpe", "op9"),
     "op10_source_mix": ("source_mix", "op10"),
 }
