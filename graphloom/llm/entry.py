@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> (module, function).
 QUERIES = {
     "op1_robust_outliers": ("robust_outliers", "op1"),
+    "op3_deleted_interpolation": ("deleted_interpolation", "op3"),
     "op4_factorization_machine": ("factorization_machine", "op4"),
     "op5_anchor_simhash": ("anchor_simhash", "op5"),
     "op7_warc_segments": ("warc_segments", "op7"),
