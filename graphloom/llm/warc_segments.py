@@ -20,9 +20,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,20 +93,20 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     common.ship(spark)
     p = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    keys = p.where((F.octet_length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("first"))
-    revisits = keys.join(first, "digest").where("page_id > first").select("page_id", "digest", "first").distinct()
-    rows = p.join(revisits, ["page_id", "digest"], "left").repartition(common.parts(spark), "page_id")
-    rows = rows.select("page_id", "url", "payload", "digest", "first")
+    keys = p.select("page_id", "digest", (F.octet_length("payload") >= MIN_REVISIT).alias("long")).where("page_id is not null")
+    first = keys.where("long").groupBy("digest").agg(F.min("page_id").alias("first"))
+    about = keys.join(first, "digest", "left").groupBy("page_id").agg(F.count("*").alias("copies"), F.map_from_entries(F.collect_set(F.when(F.col("long") & (F.col("page_id") > F.col("first")), F.struct("digest", "first")))).alias("firsts"))
+    # the payloads move once, by id
+    rows = p.join(about, "page_id", "left").select("page_id", "url", "payload", "digest", F.expr("try_element_at(firsts, digest)").alias("first"), (F.coalesce("copies", F.lit(2)) > 1).alias("repeated"))
 
     def run(batches):
-        seen = Counter()  # repeated ids lie in one partition
+        made = 0
         for b in batches:
             out = []
-            for page, url, payload, digest, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for page, url, payload, digest, first, repeated in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                made += 1
                 name = f"urn:page:{'' if page is None else page}"
-                ident = f"{name}:copy:{seen[page]}" if seen[page] else name
-                seen[page] += 1
+                ident = f"{name}:copy:{TaskContext.get().partitionId()}-{made}" if repeated else name
                 out += page_records(ident, url, payload, digest, None if first is None else f"urn:page:{first}", segment)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
