@@ -13,6 +13,7 @@ QUERIES = {
     "op3_deleted_interpolation": ("deleted_interpolation", "op3"),
     "op4_factorization_machine": ("factorization_machine", "op4"),
     "op5_anchor_simhash": ("anchor_simhash", "op5"),
+    "op6_incremental_mih": ("incremental_mih", "op6"),
     "op7_warc_segments": ("warc_segments", "op7"),
     "op8_line_blocks": ("line_blocks", "op8"),
     "op9_bitmap_bpe": ("bitmap_bpe", "op9"),
@@ -21,6 +22,7 @@ QUERIES = {
 
 #: Query name -> (module, constant with DuckDB SQL).
 SQL: dict[str, tuple[str, str]] = {
+    "op6_incremental_mih": ("incremental_mih", "OP6_SQL"),
     "op7_warc_segments": ("warc_segments", "OP7_SQL"),
     "op10_source_mix": ("source_mix", "OP10_SQL"),
 }
