@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> (module, function).
 QUERIES = {
     "op1_robust_outliers": ("robust_outliers", "op1"),
+    "op2_url_timeline": ("url_timeline", "op2"),
     "op3_deleted_interpolation": ("deleted_interpolation", "op3"),
     "op4_factorization_machine": ("factorization_machine", "op4"),
     "op5_anchor_simhash": ("anchor_simhash", "op5"),
@@ -22,6 +23,7 @@ QUERIES = {
 
 #: Query name -> (module, constant with DuckDB SQL).
 SQL: dict[str, tuple[str, str]] = {
+    "op2_url_timeline": ("url_timeline", "OP2_SQL"),
     "op6_incremental_mih": ("incremental_mih", "OP6_SQL"),
     "op7_warc_segments": ("warc_segments", "OP7_SQL"),
     "op10_source_mix": ("source_mix", "OP10_SQL"),
