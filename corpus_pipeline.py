@@ -1,15 +1,64 @@
-"""Corpus pipeline; its stages are added as their operators land."""
+"""Corpus pipeline: quality classifier, quality rules, near-duplicates, mixing, tokenisation.
+
+Every stage works on all rows that the one before it kept; all but the last return the columns of documents.
+A model or estimate is fitted on the rows that the stage gets.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom.llm import anchor_simhash, bitmap_bpe, common, factorization_machine, robust_outliers, source_mix
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that the factorisation machine rejects go."""
+    return factorization_machine.keep_good(docs, factorization_machine.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that fail the base rules or are outliers of their language and source go."""
+    return robust_outliers.keep_usual(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: of each class of near copies the document with the least id stays (one row of it).
+
+    Only ids move: the rows that stay are found among (doc_id, copy number), and the texts are joined to
+    them by id.
+    """
+    classes = anchor_simhash.simhash_components(docs)
+    heads = common.materialize(classes.select(F.col("component_id").alias("_head")).distinct(), "heads")
+    one = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source"))).where("_n = 1").drop("_n")
+    return one.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: the documents, as often and as far as the schedule takes them."""
+    return source_mix.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of the mix."""
+    return bitmap_bpe.encode_documents(docs, *bitmap_bpe.production_ranks())
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("tokens", tokens),
+]
 
-STAGES: list = []
+#: The classifier and the encoder have no SQL form; tests/llm/test_pipeline.py compares with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir).select(*docs.columns), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
