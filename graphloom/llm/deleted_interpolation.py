@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gc
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,16 +57,16 @@ def unpack(b: bytes, kind) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys: the first, then differences in as few bytes as the largest needs."""
-    steps = np.diff(keys)
-    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    return keys[:1].tobytes() + bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Sorted distinct 64-bit keys: the first, then differences, their low five bytes as they are and the rest compressed."""
+    steps = np.diff(keys).view(np.uint8).reshape(-1, 8)
+    return keys[:1].tobytes() + len(steps).to_bytes(8, "little") + np.ascontiguousarray(steps[:, :5]).tobytes() + zstandard.compress(np.ascontiguousarray(steps[:, 5:].T).tobytes(), 3)
 
 
 def unpack_keys(b: bytes) -> np.ndarray:
-    width = b[8]
-    steps = np.zeros(((len(b) - 9) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(b, np.uint8, offset=9).reshape(-1, width)
+    n = int.from_bytes(b[8:16], "little")
+    steps = np.empty((n, 8), np.uint8)
+    steps[:, :5] = np.frombuffer(b, np.uint8, 5 * n, 16).reshape(n, 5)
+    steps[:, 5:] = np.frombuffer(zstandard.decompress(b[16 + 5 * n :]), np.uint8).reshape(3, n).T
     return np.cumsum(np.concatenate([np.frombuffer(b[:8], np.uint64), steps.view(np.uint64).ravel()]), dtype=np.uint64)
 
 
@@ -146,30 +147,29 @@ def bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edge, np.uint64)), len(keys))
 
 
-def count(batches: DataFrame, ranges: int, order: int) -> DataFrame:
+def count(batches: DataFrame, ranges: int, k: int) -> DataFrame:
     """``batch, k, part, counts``: of each batch's distinct k-grams in key order, training and held counts; and
-    one row per range and order with batch -1, ``n`` its training tokens (or n-grams) and ``v`` its distinct ones."""
+    one row per range with batch -1, ``n`` its training tokens (or n-grams) and ``v`` its distinct ones."""
 
     def send(it):
         for b in it:
             for row in b.to_pylist():
-                _, keys, _, train = open_batch(row, order)
+                _, keys, _, train = open_batch(row, k)
                 held = train if row["held"] else np.zeros(len(train), bool)
-                for k, key in enumerate(keys, 1):
-                    distinct, at = np.unique(key, return_inverse=True)
-                    n_train = np.bincount(at, weights=train, minlength=len(distinct)).astype(np.uint32)
-                    n_held = np.bincount(at, weights=held, minlength=len(distinct)).astype(np.uint32)
-                    cut = bounds(distinct, ranges)
-                    some = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([k * ranges + r for r in some], pa.int64()),
-                            pa.array([row["batch"]] * len(some), pa.int64()),
-                            pa.array([pack_keys(distinct[cut[r] : cut[r + 1]]) for r in some], pa.binary()),
-                            pa.array([pack(np.stack([n_train[cut[r] : cut[r + 1]], n_held[cut[r] : cut[r + 1]]])) for r in some], pa.binary()),
-                        ],
-                        names=["range", "batch", "keys", "counts"],
-                    )
+                distinct, at = np.unique(keys[-1], return_inverse=True)
+                n_train = np.bincount(at, weights=train, minlength=len(distinct)).astype(np.uint32)
+                n_held = np.bincount(at, weights=held, minlength=len(distinct)).astype(np.uint32)
+                cut = bounds(distinct, ranges)
+                some = [r for r in range(ranges) if cut[r] < cut[r + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(some, pa.int64()),
+                        pa.array([row["batch"]] * len(some), pa.int64()),
+                        pa.array([pack_keys(distinct[cut[r] : cut[r + 1]]) for r in some], pa.binary()),
+                        pa.array([pack(np.stack([n_train[cut[r] : cut[r + 1]], n_held[cut[r] : cut[r + 1]]])) for r in some], pa.binary()),
+                    ],
+                    names=["range", "batch", "keys", "counts"],
+                )
 
     def add(table: pa.Table) -> pa.Table:
         own = [unpack_keys(b) for b in table["keys"].to_pylist()]
@@ -177,8 +177,7 @@ def count(batches: DataFrame, ranges: int, order: int) -> DataFrame:
         distinct, where = np.unique(np.concatenate(own), return_inverse=True)
         sent = [unpack(b, np.uint32).reshape(2, -1) for b in table["counts"].to_pylist()]
         total = np.stack([np.bincount(where, weights=np.concatenate([s[i] for s in sent]), minlength=len(distinct)) for i in (0, 1)]).astype(np.uint64)
-        code = table["range"][0].as_py()
-        k, part = divmod(code, ranges)
+        part = table["range"][0].as_py()
         batch = table["batch"].to_pylist()
         back = [pack(total[:, where[a:b]]) for a, b in zip(at, at[1:], strict=False)]
         n = len(batch) + 1
@@ -257,8 +256,12 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     batches = common.materialize(batches_of(docs), "batches")
     tokens, texts, held_texts = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("n"), F.col("texts"), F.when(F.col("held"), F.col("texts")))]).first()
     ranges = max(1, -(-tokens // RANGE_KEYS))
-    back = common.materialize(count(batches, ranges, order), "counts")
-    n, n_held, v = back.where("batch = -1 and k = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_held", "v")]).first()
+    tables = []
+    for k in range(1, order + 1):  # one order after the other, so that one order's shuffle is on disk at a time
+        tables.append(common.materialize(count(batches, ranges, k), "counts"))
+        common.release(spark)
+    back = reduce(DataFrame.unionByName, tables)
+    n, n_held, v = tables[0].where("batch = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_held", "v")]).first()
     back = back.where("batch >= 0").select("batch", "k", "part", "counts")
     n_buckets = int(np.prod(CLASSES[: order - 1]))
     texts, rest_texts = float(texts), float(texts - held_texts)
@@ -275,6 +278,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     held = batches.where("held")
     vectors = back.join(held.select("batch"), "batch", "left_semi").groupBy("batch").cogroup(held.groupBy("batch")).applyInArrow(likelihoods, kind)
     vectors = common.materialize(vectors.groupBy(*[c for c in vectors.columns if c != "n"]).agg(F.sum("n").alias("n")), "heldout")
+    common.release(spark)
     weights = learn_weights(vectors, n_buckets, order)
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
