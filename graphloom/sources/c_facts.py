@@ -210,8 +210,6 @@ class Scanner:
                 continue
             if x == "=" and t[j].kind == "op":
                 initialised = True
-            if x == "," and t[j].kind == "op" and not initialised:
-                pass
             if x == ":" and t[j].kind == "op" and function is not None and not initialised:  # member initialisers
                 j += 1
                 while j < end and not self.op(j, ";"):
@@ -370,9 +368,6 @@ class Scanner:
             j = self.angle_name(j)
             if j is None:
                 return None
-            template = True
-        else:
-            template = False
         if j < first:
             return None
         if t[j].kind == "name":
@@ -385,7 +380,7 @@ class Scanner:
             if before and (before.kind == "name" and before.text not in BEFORE_EXPRESSION and before.text not in CASTS or before.text in (">", "~") and self.angle_name(start - 1) is not None):
                 return None  # a declaration
             qualified = any(self.op(k, "::") for k in range(start, j))
-            return start, "qualified" if qualified else "unqualified", t[j].text if not template else t[j].text
+            return start, "qualified" if qualified else "unqualified", t[j].text
         if self.op(j, ")", "]") and self.match.get(j, i) < j:
             open_ = self.match[j]
             if self.op(j, "]") and not (open_ > first and (t[open_ - 1].kind == "name" or self.op(open_ - 1, ")", "]"))):
