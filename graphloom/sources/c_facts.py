@@ -333,8 +333,14 @@ class Scanner:
 
     def calls(self, first: int, last: int, caller: tuple[str, int], own: tuple[int, int]) -> None:
         t = self.tokens
+        skip, j = {own[1]}, self.match[own[1]] + 1
+        while j < self.match[last]:  # brackets of member initialisers and specifiers are no calls
+            if self.op(j, "(") and self.match.get(j, -1) > j:
+                skip.add(j)
+                j = self.match[j]
+            j += 1
         for i in range(first, last):
-            if not self.op(i, "(") or t[i].kind != "op" or i == own[1] or self.match.get(i, -1) < i:
+            if not self.op(i, "(") or t[i].kind != "op" or i in skip or self.match.get(i, -1) < i:
                 continue
             found = self.callee(i, first)
             if found is None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from graphloom.functions.scalars import SYMBOL_KINDS, SYMBOL_ROLES
 from graphloom.operators.resolve import RANGE
@@ -52,9 +54,7 @@ def analyses(files: DataFrame) -> DataFrame:
     schema = files.select("path", "language", "content_fingerprint", "size_bytes").schema
     schema = schema.add("status", "string")
     for name, kind in FACTS.items():
-        schema = schema.add(name, f"array<{kind}>")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+        schema = schema.add(name, DataType.fromDDL(f"array<{kind}>"))
     arrow = to_arrow_schema(schema)
 
     def run(batches):
