@@ -3,6 +3,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ need = pytest.mark.skipif(not os.path.isdir(D), reason="test tables not there")
 
 def rows(df):
     columns = sorted(df.columns)
-    text = lambda v: "NULL" if v is None or v != v else str(int(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    text = lambda v: "NULL" if pd.isna(v) else str(int(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted([text(v) for v in r] for r in df[columns].itertuples(index=False))
 
 
