@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; also what bytes.split() and Arrow's ASCII split use.
 WHITE = " \t\n\x0b\x0c\r"
 
+#: Paths handed out by new_path().
+MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only if unset (local mode)."""
@@ -34,8 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; clear() deletes what is there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this process has written, once no result reads them any more."""
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, MADE):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    MADE.clear()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
