@@ -157,6 +157,17 @@ def path_confirmed(spark, d):
     return spark.createDataFrame([(far["node"], target, status, len(steps))], "source string, target string, status string, steps long")
 
 
+def path_possible(spark, d):
+    """Shortest path that needs an ambiguous call: from the least possible caller of the busiest symbol to it."""
+    c = traverse.cut(_calls(lens.facts(spark, d)))
+    target = busiest(c)
+    seed = spark.createDataFrame([(target, 1)], "node string, pos int")
+    _, possible = traverse.impact(traverse.call_links(c, "resolved"), traverse.call_links(c, "ambiguous"), seed)
+    near = possible.orderBy("node").first()
+    status, steps = traverse.shortest_path(c, near["node"], target)
+    return spark.createDataFrame([(near["node"], target, status, len(steps))], "source string, target string, status string, steps long")
+
+
 def export_nodes(spark, d):
     f = lens.facts(spark, d)
     return export.nodes(f["files"], f["symbols"]).select("id", "type", "file", "role")
@@ -210,7 +221,7 @@ def fingerprint_files(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (call_resolution, include_resolution, defines_edges, resolution_summary, scope_candidates, suffix_match, scan_classify, symbols_selected, callees, callers, symbol_counts, file_definitions, file_outgoing, file_incoming,
-              impact_confirmed, impact_possible, impact_includes, impact_file, path_confirmed, export_nodes, export_edges, integrity_checks, incremental_diff, reuse_plan, page_links, fingerprint_files)
+              impact_confirmed, impact_possible, impact_includes, impact_file, path_confirmed, path_possible, export_nodes, export_edges, integrity_checks, incremental_diff, reuse_plan, page_links, fingerprint_files)
 }
 
 # --- the same in DuckDB ---
@@ -316,6 +327,7 @@ SQL = {
     "impact_includes": f"WITH RECURSIVE {_INCLUDES}, busy AS (SELECT target_path AS k FROM include_edges WHERE resolution = 'resolved' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), links AS (SELECT source_path AS source, target_path AS target FROM include_edges WHERE resolution = 'resolved'), {_REACH.format(seed='busy', links='links')} SELECT node, CAST(depth AS BIGINT) AS depth FROM least WHERE depth > 0",
     "impact_file": f"WITH RECURSIVE {_CALLS}, {_BUSY}, {_LINKS}, seeds AS (SELECT path || '|' || qualified_name || '|' || start_byte AS k FROM defs WHERE path = (SELECT string_split(k, '|')[1] FROM busy)), {_REACH.format(seed='seeds', links='links')} SELECT node, CAST(depth AS BIGINT) AS depth FROM least WHERE depth > 0",
     "path_confirmed": f"WITH RECURSIVE {_CALLS}, {_BUSY}, {_LINKS}, {_REACH.format(seed='busy', links='links')} SELECT node AS source, k AS target, 'confirmed' AS status, CAST(depth AS BIGINT) AS steps FROM least, busy WHERE depth > 0 ORDER BY depth DESC, node LIMIT 1",
+    "path_possible": f"WITH RECURSIVE {_CALLS}, {_BUSY}, {_LINKS}, {_REACH.format(seed='busy', links='links')}, near AS (SELECT min(m.source) AS node FROM maybe m JOIN least ON m.target = least.node WHERE m.source NOT IN (SELECT node FROM least)), every AS (SELECT source, target FROM links UNION SELECT source, target FROM maybe), {_REACH.format(seed='busy', links='every').replace('reach', 'wide').replace('least', 'shortest')} SELECT w.node AS source, k AS target, 'possible' AS status, CAST(w.depth AS BIGINT) AS steps FROM shortest w JOIN near USING (node), busy",
     "export_nodes": f"WITH {_FACTS} SELECT {_FID.format(p='path')} AS id, 'file' AS type, path AS file, CAST(NULL AS VARCHAR) AS role FROM lens_files UNION ALL SELECT {_ME}, 'symbol', path, 'definition' FROM defs",
     "export_edges": f"""WITH {_ALL}, d AS (SELECT *, {_ME} AS me, path || '|' || qualified_name || '|' || start_byte AS k FROM defs),
       e AS (SELECT s.me AS source, t.me AS target, c.* FROM call_edges c JOIN d s ON s.k = source_path || '|' || source_name || '|' || caller_start_byte LEFT JOIN d t ON t.k = target_path || '|' || target_name || '|' || target_start),

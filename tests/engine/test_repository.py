@@ -187,3 +187,22 @@ def test_reindex(client, repo, spark, tmp_path, monkeypatch):
     store._point(m)
     with pytest.raises(errors.IndexUnavailable, match="unsupported database schema version: 99"):
         c.symbol(tree, "fresh")
+
+
+def test_data_source(spark, repo):
+    from graphloom.functions.scalars import fnv1a
+    from graphloom.sources.datasource import RepositorySource
+
+    spark.dataSource.register(RepositorySource)
+    got = spark.read.format("repository").option("shareBytes", "100").load(repo).collect()
+    assert {r.path: r.content_fingerprint for r in got} == {f[0]: fnv1a(TREE[f[0]].encode()) for f in scan(repo).files}
+
+
+def test_streaming_reindex(spark, repo, tmp_path):
+    from graphloom.streaming.reindex import follow
+
+    spark.createDataFrame([("changed",)], "path string").write.parquet(f"file://{tmp_path}/events")
+    seen = []
+    q = follow(spark.readStream.schema("path string").parquet(f"file://{tmp_path}/events"), repo, f"file://{tmp_path}/checkpoint", str(tmp_path / "store"), lambda n, r: seen.append((n, r.counts["files"])))
+    q.awaitTermination(120)
+    assert seen == [(0, 7)]
