@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in ``spark.checkpoint.dir``; a temporary folder only where the session has none."""
+    """Eager checkpoint in ``spark.checkpoint.dir``; a temporary folder only in local mode without that setting."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not top and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager=True)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import tempfile
 import time
 import uuid
@@ -56,20 +55,36 @@ def violations(files: DataFrame, symbols: DataFrame, relationships: DataFrame) -
 
 
 class Store:
-    """The snapshots of one repository."""
+    """The snapshots of one repository.
+
+    ``root`` is a folder, or a URL of any file system that Spark knows; on a cluster it must be one that driver
+    and executors share, so only local mode has a default.
+    """
 
     def __init__(self, spark: SparkSession, repository: str, root: str | None = None):
+        if root is None and not spark.sparkContext.master.startswith("local"):
+            raise SnapshotError("name a snapshot store that driver and executors share")
         self.spark, self.repository = spark, os.path.realpath(repository)
-        self.folder = os.path.join(root or default_store(), "repos", fnv1a(self.repository.encode()))
-        self.pointer = os.path.join(self.folder, "ACTIVE.json")
+        root = root or default_store()
+        root = root.rstrip("/") if "://" in root else f"file://{os.path.abspath(root)}"
+        self.folder = f"{root}/repos/{fnv1a(self.repository.encode())}"
+        self.pointer = f"{self.folder}/ACTIVE.json"
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _file(self, path: str):
+        p = self._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self._conf), p
 
     def manifest(self) -> dict | None:
         """Manifest of the active run, None before the first; never creates anything."""
-        try:
-            with open(self.pointer, encoding="utf-8") as f:
-                found = json.load(f)
-        except FileNotFoundError:
+        fs, p = self._file(self.pointer)
+        if not fs.exists(p):
             return None
+        stream = fs.open(p)
+        try:
+            found = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
         if found.get("schema_version") != SCHEMA_VERSION:
             raise SnapshotError(f"unsupported database schema version: {found.get('schema_version')}")
         return found
@@ -83,7 +98,7 @@ class Store:
         m = manifest or self.manifest()
         if m is None:
             raise SnapshotError("no completed index")
-        return {t: self.spark.read.parquet(f"file://{self.folder}/runs/{m['run_id']}/{t}") for t in TABLES}
+        return {t: self.spark.read.parquet(f"{self.folder}/runs/{m['run_id']}/{t}") for t in TABLES}
 
     def cached_facts(self) -> dict[str, DataFrame] | None:
         """Facts that a new run may reuse: none if another version of the analysis wrote them."""
@@ -93,10 +108,10 @@ class Store:
     def replace(self, tables: dict[str, DataFrame]) -> dict:
         """Write a run, check it, make it active."""
         run, started = uuid.uuid4().hex, time.time()
-        path = os.path.join(self.folder, "runs", run)
+        path = f"{self.folder}/runs/{run}"
         try:
             for name in TABLES:
-                tables[name].write.parquet(f"file://{path}/{name}")
+                tables[name].write.parquet(f"{path}/{name}")
             written = self.tables({"run_id": run})
             bad = violations(written["files"], written["symbols"], written["relationships"]).collect()
             if bad:
@@ -104,17 +119,22 @@ class Store:
             manifest = {"schema_version": SCHEMA_VERSION, "analysis_cache_version": CACHE_VERSION, "repository": self.repository, "run_id": run, "previous": (self.manifest() or {}).get("run_id"), "started_at": started, "completed_at": time.time(), "status": "completed"}
             self._point(manifest)
         except BaseException:
-            shutil.rmtree(path, ignore_errors=True)
+            fs, p = self._file(path)
+            fs.delete(p, True)
             raise
-        for old in os.listdir(os.path.join(self.folder, "runs")):
-            if old not in (run, manifest["previous"]):
-                shutil.rmtree(os.path.join(self.folder, "runs", old), ignore_errors=True)
+        fs, runs = self._file(f"{self.folder}/runs")
+        for old in fs.listStatus(runs):
+            if old.getPath().getName() not in (run, manifest["previous"]):
+                fs.delete(old.getPath(), True)
         return manifest
 
     def _point(self, manifest: dict) -> None:
-        temporary = f"{self.pointer}.{uuid.uuid4().hex}"
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump(manifest, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temporary, self.pointer)
+        """Replace the pointer in one step."""
+        fs, temporary = self._file(f"{self.pointer}.{uuid.uuid4().hex}")
+        stream = fs.create(temporary)
+        stream.write(bytearray(json.dumps(manifest), "utf-8"))
+        stream.close()
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        target = self._jvm.org.apache.hadoop.fs.Path(self.pointer)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf).rename(temporary, target, options)
