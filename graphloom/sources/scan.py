@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 EXTENSIONS = (".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx", ".inc", ".py", ".pyi")
-PRUNED = (".git", ".hg", ".svn", ".sherpa", "build", "out", "dist", "node_modules")
+PRUNED = (".git", ".hg", ".svn", ".graphloom", "build", "out", "dist", "node_modules")
 MAX_BYTES = 16 * 1024 * 1024
 
 
