@@ -2,7 +2,6 @@ import hashlib
 import os
 import re
 
-import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
