@@ -120,6 +120,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["code", "distance", "vec_id"])
 
+    # as many partitions as cells, up to ten to each of the session's: small tables would be merged into one task
+    cells = min(ranges * blocks, 10 * common.parts(spark))
+    left, right = (x.repartition(cells, "block", "range") for x in (left, right))
     found = left.groupBy("block", "range").cogroup(right.groupBy("block", "range")).applyInArrow(run, "code long, distance long, vec_id long")
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("distance", "vec_id")).cast("long")).where(F.col("rank") <= k)
     answers = found.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "distance"))).alias("_a"))
