@@ -49,11 +49,14 @@ START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\t", b"\n"))
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(a.tobytes(), 1)
+    """Compressed, the lowest bytes of all numbers first, then the next: high bytes are mostly zero."""
+    a = np.ascontiguousarray(a).ravel()
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 3)
 
 
 def unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), kind)
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -280,6 +283,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     vectors = common.materialize(vectors.groupBy(*[c for c in vectors.columns if c != "n"]).agg(F.sum("n").alias("n")), "heldout")
     common.release(spark)
     weights = learn_weights(vectors, n_buckets, order)
+    common.release(spark)
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         row = right.to_pylist()[0]
