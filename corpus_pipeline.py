@@ -6,7 +6,7 @@ A model or estimate is fitted on the rows that the stage gets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import anchor_simhash, bitmap_bpe, common, factorization_machine, robust_outliers, source_mix
@@ -22,16 +22,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return robust_outliers.keep_usual(docs)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A digest of the whole row, nulls apart: equal for repeated rows only."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
+def class_heads(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each class (``key, root``) the key of the row with the least id; null ids come last."""
+    ids = keyed.select(F.col("_key").alias("key"), "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
+    return common.materialize(classes.join(ids, "key").groupBy("root").agg(least.alias("head")).select("head.key"), "heads")
+
+
+def fingerprint_heads(keyed: DataFrame) -> DataFrame:
+    """Keys of the rows that stay of the classes of operator 5."""
+    classes = anchor_simhash.simhash_components(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    return class_heads(keyed, classes.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct())
+
+
+def rows_of(keyed: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of the keys, one of repeated ones."""
+    return keyed.join(heads.withColumnRenamed("key", "_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each class of near copies the document with the least id stays (one row of it).
+    """Operator 5: of each class of near copies the row with the least id stays, rows without ids each by its digest.
 
-    Only ids move: the rows that stay are found among (doc_id, copy number), and the texts are joined to
-    them by id.
+    Only keys and ids move until the rows that stay are known; the texts are joined to them by key.
     """
-    classes = anchor_simhash.simhash_components(docs)
-    heads = common.materialize(classes.select(F.col("component_id").alias("_head")).distinct(), "heads")
-    one = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source"))).where("_n = 1").drop("_n")
-    return one.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    keyed = docs.withColumn("_key", row_key(docs))
+    return rows_of(keyed, fingerprint_heads(keyed))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

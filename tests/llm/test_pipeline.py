@@ -53,3 +53,11 @@ def test_empty_and_odd_rows(spark, tmp_path):
         for _, stage in p.STAGES:
             docs = stage(spark, docs, f"file://{tmp_path}")
         assert docs.count() >= 0
+
+
+def test_rows_without_or_with_equal_ids_are_told_apart(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    text = lambda w: " ".join(f"{w}{i}" for i in range(80))
+    rows = [(None, text("a"), "en", "s", 1), (None, text("b"), "en", "s", 1), (7, text("c"), "en", "s", 1), (7, text("d"), "en", "s", 1), (8, text("d"), "en", "s", 1), (None, text("c"), "en", "s", 1), (9, text("e"), "en", "s", 1), (9, text("e"), "en", "s", 1)]
+    got = p.near_duplicates(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "a"), (0, "b"), (7, "c"), (7, "d"), (9, "e")]
