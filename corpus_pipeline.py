@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import anchor_simhash, bitmap_bpe, common, factorization_machine, robust_outliers, source_mix
+from graphloom.llm import anchor_simhash, bitmap_bpe, common, factorization_machine, robust_outliers, shingle_copies, source_mix
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows_of(keyed, fingerprint_heads(keyed))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage: of the rows that operator 5 leaves, those also go that have a near copy by five-word shingles
+    (similarity 0.8 or more); of each such class the row with the least id stays.
+    """
+    keyed = docs.withColumn("_key", row_key(docs))
+    heads = fingerprint_heads(keyed)
+    classes = shingle_copies.copy_classes(keyed.select(F.col("_key").alias("key"), "text"), heads)
+    least = class_heads(keyed, classes)
+    alone = heads.join(classes, "key", "left_anti")  # texts without words
+    return rows_of(keyed, least.unionByName(alone))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: the documents, as often and as far as the schedule takes them."""
     return source_mix.mixed_documents(docs)
@@ -67,7 +79,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality_classifier),
     ("quality rules", quality_rules),
-    ("near duplicates", near_duplicates),
+    ("near duplicates", near_copies),
     ("mixing", mixing),
     ("tokens", tokens),
 ]
