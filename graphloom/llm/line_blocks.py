@@ -2,12 +2,14 @@
 
 Markup is stripped to lines, one per block element, with character references decoded and white space
 collapsed. Lines that cannot be article text count as empty: those in navigation, headers, footers, asides,
-forms, adverts, notices and reader comments (by element, role or class), those outside the article when the
-page marks one, and those that are mostly links. Sums of text lengths over windows of WINDOW lines make the
+forms, adverts, notices and reader comments (by element, role or class). If the page marks its article, all other
+lines inside it are the text, linked ones too. Else runs of two or more lines that are mostly links, headings
+apart, are menus and count as empty as well. Sums of text lengths over windows of WINDOW lines make the
 distribution: it surges where a window rises from zero and dives where it falls back to zero; the text between
-a surge and its dive is kept if the distribution peaks at SURGE or more in between, or, on a page without such
-a stretch, in the stretch with the most text. Removed elements inside an article leave no lines, so that an
-advert does not part it; outside they leave WINDOW empty ones.
+a surge and its dive is kept if the distribution peaks at SURGE or more in between, or if such a stretch is its
+neighbour and they are at most WINDOW empty lines apart or it has a heading; or, on a page without a tall
+stretch, in the stretch with the most text. Removed elements inside an article leave no lines; outside they leave
+WINDOW empty ones.
 
 Defined cases: a null or empty page has the empty text; unclosed and truncated markup ends with the page;
 repeated rows come out each; other columns are ignored.
@@ -48,6 +50,7 @@ WORDS = frozenset(
     "newsletter notice notices popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget disqus".split()
 )
 ARTICLE = frozenset(["article", "main"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _WORD = re.compile(r"[a-z0-9]+")
 _CLOSES_P = BLOCKS
 
@@ -73,26 +76,29 @@ def dropped(name: str, attributes: str, in_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes, re.I))
 
 
-def lines(html: str) -> list[tuple[str, int]]:
-    """(text, link characters) of each line; empty lines where something outside an article was removed."""
-    out: list[tuple[str, int]] = []
+def lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
+    """(text, link characters, is a heading) of each line, and whether the page marks its article; then only the
+    article's lines, else also empty ones where something was removed.
+    """
+    out: list[tuple[str, int, bool]] = []
     article_lines: list[bool] = []
     text: list[str] = []
     linked = skip = depth = in_link = 0
+    heading = False
     skipping = ""
 
     def close() -> None:
         nonlocal linked
         line = " ".join(unescape("".join(text)).split())
         if line:
-            out.append((line, linked))
+            out.append((line, linked, heading))
             article_lines.append(depth > 0)
         text.clear()
         linked = 0
 
     def gap() -> None:
         if not depth:
-            out.extend([("", 0)] * WINDOW)
+            out.extend([("", 0, False)] * WINDOW)
             article_lines.extend([False] * WINDOW)
 
     at = 0
@@ -128,6 +134,8 @@ def lines(html: str) -> list[tuple[str, int]]:
         if end:
             if name in BLOCKS:
                 close()
+            if name in HEADINGS:
+                heading = False
             if name in ARTICLE and depth:
                 depth -= 1
                 if not depth:
@@ -141,7 +149,7 @@ def lines(html: str) -> list[tuple[str, int]]:
             continue
         if block:
             close()
-            in_link = 0
+            in_link, heading = 0, name in HEADINGS
         if name in ARTICLE:
             if not depth:
                 gap()
@@ -149,14 +157,20 @@ def lines(html: str) -> list[tuple[str, int]]:
     if not skip and at < len(html):
         text.append(html[at:])
     close()
-    if any(x and line[0] for x, line in zip(article_lines, out, strict=True)):  # the page marks its article
-        return [line if x else ("", 0) for x, line in zip(article_lines, out, strict=True)]
-    return out
+    article = [line for x, line in zip(article_lines, out, strict=True) if x and line[0]]
+    return (article, True) if article else (out, False)
 
 
 def main_text(html: str) -> str:
     """The article of a page, one block to a line."""
-    found = [("" if not line or linked >= LINKED * len(line) and linked > 0 else line) for line, linked in lines(html)]
+    every, marked = lines(html)
+    if marked:
+        return "\n".join(line for line, _, _ in every)
+    found = [line for line, _, _ in every]
+    menu = [line != "" and not heading and linked > 0 and linked >= LINKED * len(line) for line, linked, heading in every]
+    for i, x in enumerate(menu):
+        if x and (i and menu[i - 1] or i + 1 < len(menu) and menu[i + 1]):
+            found[i] = ""
     size = [len(x) for x in found]
     n = len(size)
     total = [0]
@@ -169,13 +183,19 @@ def main_text(html: str) -> str:
         if x and begin is None:
             begin = i  # surge
         elif not x and begin is not None:
-            first, last = begin + 1 - WINDOW, i - WINDOW  # dive
-            stretches.append((max(sums[begin:i]), max(0, first), min(n, last + WINDOW)))
+            stretches.append((max(sums[begin:i]), begin, i - WINDOW + 1))  # dive
             begin = None
     if not stretches:
         return ""
-    tall = [s for s in stretches if s[0] >= SURGE] or [max(stretches, key=lambda s: (total[s[2]] - total[s[1]], -s[1]))]
-    return "\n".join(x for _, a, b in tall for x in found[a:b] if x)
+    kept = [k for k, s in enumerate(stretches) if s[0] >= SURGE]
+    if not kept:
+        kept = [max(range(len(stretches)), key=lambda k: (total[stretches[k][2]] - total[stretches[k][1]], -k))]
+    else:
+        tall = set(kept)
+        heads = [any(every[i][2] and found[i] for i in range(a, b)) for _, a, b in stretches]
+        near = [stretches[k + 1][1] - stretches[k][2] <= WINDOW for k in range(len(stretches) - 1)]
+        kept = [k for k in range(len(stretches)) if k in tall or k - 1 in tall and (near[k - 1] or heads[k]) or k + 1 in tall and (near[k] or heads[k])]
+    return "\n".join(x for k in kept for x in found[stretches[k][1] : stretches[k][2]] if x)
 
 
 def extract(pages: DataFrame) -> DataFrame:

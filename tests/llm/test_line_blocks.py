@@ -36,3 +36,16 @@ def test_frame(spark):
 def test_hostile_markup_is_linear():
     assert b.main_text("<p '" * 20_000) is not None
     assert b.main_text("<div>" * 50_000 + LONG) == LONG
+
+
+WHOLE = [
+    (f"<article><h2><a href='#x'>Section</a></h2><p>{LONG}</p><ul><li><a href=1>One source</a><li><a href=2>Two sources</a><li><a href=3>Three</a></ul><p>The end.</p></article>", f"Section\n{LONG}\nOne source\nTwo sources\nThree\nThe end."),
+    (f"<div><h1>Title</h1></div><div class=share><a href=1>Post it</a></div><p>{LONG}</p><div class=ad>Buy</div><p>Short close.</p>", f"Title\n{LONG}\nShort close."),
+    (f"<h1><a href=/>Title</a></h1><ul><li><a href=1>One link</a><li><a href=2>Two links</a><li><a href=3>More</a><li><a href=4>Most</a></ul><p>{LONG}</p><p><a href=5>A linked line</a></p><p>{LONG}</p>", f"Title\n{LONG}\nA linked line\n{LONG}"),
+    (f"<p>Far away</p><nav>x</nav><nav>y</nav><p>{LONG}</p>", LONG),
+]
+
+
+@pytest.mark.parametrize("html,text", WHOLE)
+def test_nothing_else_is_dropped(html, text):
+    assert b.main_text(html) == text
