@@ -16,7 +16,6 @@ ignored; rows repeat as they come in; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 import re
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import common
 
 #: Bytes of text that a task encodes at once; bounds memory, never results.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 6_000_000
 #: Pre-tokens up to so many bytes are merged side by side under one queue, longer ones each on their own.
 SHORT = 64
 #: So many at a time; bounds memory.
@@ -335,7 +334,7 @@ def encode_texts(encoder: Encoder, pairs: Pairs, texts: pa.Array) -> list[tuple[
     flat_tokens: list[int] = []
     starts = [0]
     for piece in names:
-        if piece.isascii() and piece[1:].isalpha():  # one pre-token
+        if piece.isascii() and (piece[0] == " " or piece[0].isalpha()) and piece[1:].isalpha():  # one pre-token
             flat_tokens.append(tokens.setdefault(piece, len(tokens)))
         else:
             for t in encoder.find(piece):
@@ -388,8 +387,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
     kind = "bigint" if docs.schema[key].dataType.simpleString() == "bigint" else "string"
     schema = pa.schema([(key, pa.int64() if kind == "bigint" else pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+    @common.tidy
     def run(batches):
-        gc.disable()  # many small objects and no cycles
         encoder, pairs = Encoder(table.value[0], pattern), table.value[1]
         for keys, texts in common.chunks(batches, CHUNK_BYTES):
             n, said, plain = zip(*encode_texts(encoder, pairs, texts), strict=True)

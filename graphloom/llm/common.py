@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import os
 import shutil
@@ -89,6 +91,46 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def tidy(run):
+    """Wrap a generator over Arrow data: no collector while it runs (many small objects, no cycles), and at its end,
+    also by an error, the collector as before and unused memory back to the system, as workers outlive tasks.
+    """
+
+    @functools.wraps(run)
+    def inner(*given):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(*given)
+        finally:
+            if was:
+                gc.enable()
+            give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    """Hand memory that is free in this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call in this C library
+        pass
+
+
+def by_bytes(batches, column: int, most: int):
+    """Slices of Arrow batches whose texts in ``column`` hold at most ``most`` bytes, or that are one row."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(large_string(b.column(column))).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def parts(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -140,9 +182,9 @@ def chunks(batches, most: int):
     keys, texts, held = [], [], 0
     for b in batches:
         t = large_string(b.column(1))
-        for at in range(0, len(t), 64):  # a few very long texts do not pile up
-            part = t.slice(at, 64)
-            keys.append(b.column(0).slice(at, 64))
+        for at in range(0, len(t), 16):  # a few very long texts do not pile up
+            part = t.slice(at, 16)
+            keys.append(b.column(0).slice(at, 16))
             texts.append(part)
             held += pc.sum(pc.binary_length(part)).as_py() or 0
             if held >= most:

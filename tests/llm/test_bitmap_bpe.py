@@ -39,6 +39,35 @@ def test_any_text(text):
     same(text)
 
 
+CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
+PARTS = [*CONTRACTIONS, "'", "season", "a", "Ab", "é", "漢", "ß", "12", "٣", "!", "?!", "…", "_", " ", "  ", "\t", "\n", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "🙂"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=9).map("".join))
+def test_all_alternatives_of_the_pattern(text):
+    same(text)
+
+
+def test_contractions_and_a_letter():
+    texts = [before + c + letter + rest for c in CONTRACTIONS for letter in "abcdefghijklmnopqrstuvwxyzA" for rest in ("", "eason x") for before in ("", " ", "\n", "\t", "  ", "a ", "x\n")]
+    got = b.encode_texts(ENC, PAIRS, pa.array(texts, pa.large_string()))
+    assert [x[1] for x in got] == [" ".join(map(str, LIB.encode_ordinary(t))).encode() for t in texts]
+    for one in texts[::17]:
+        same(one)
+
+
+def test_many_generated_texts():
+    import random
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(1, 8))) for _ in range(100_000)]
+    for at in range(0, len(texts), 5_000):
+        some = texts[at : at + 5_000]
+        got = b.encode_texts(ENC, PAIRS, pa.array(some, pa.large_string()))
+        assert [x[1] for x in got] == [" ".join(map(str, LIB.encode_ordinary(t))).encode() for t in some]
+
+
 def test_long_pretoken():
     same("ab" * 20_000 + "a" * 50_000)
 
