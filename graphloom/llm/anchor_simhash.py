@@ -16,8 +16,6 @@ id is the least id reachable, null only if every id of the class is null; other
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -89,8 +87,8 @@ def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     common.ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
+    @common.tidy
     def run(batches):
-        gc.disable()
         for keys, texts in common.chunks(batches, CHUNK_BYTES):
             yield pa.RecordBatch.from_arrays([keys, pa.array(fingerprints(texts, shingle).view(np.int64))], schema=schema)
 

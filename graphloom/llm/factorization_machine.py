@@ -36,7 +36,7 @@ FOLDS = 5
 #: A document counts as good from this score on.
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.05, 1e-4
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 
 STATS = ["words", "bytes", "lines", "word_len", "upper", "digit", "punct", "symbol", "non_ascii", "line_len", "dup_lines", "distinct", "top_word", "shouted", "ended", "space"]
 
@@ -189,6 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
     common.ship(spark)
 
+    @common.tidy
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 100):
@@ -212,6 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
+    @common.tidy
     def run(batches):
         for keys, texts in common.chunks(batches, CHUNK_BYTES):
             z = held.value.score(texts)
@@ -227,10 +229,10 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @common.tidy
     def run(batches):
-        for b in batches:
-            ok = [held.value.score(common.large_string(b.column(at).slice(i, 500))) >= THRESHOLD for i in range(0, b.num_rows, 500)]
-            yield b.filter(pa.array(np.concatenate(ok))) if ok else b
+        for b in common.by_bytes(batches, at, CHUNK_BYTES):
+            yield b.filter(pa.array(held.value.score(common.large_string(b.column(at))) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 

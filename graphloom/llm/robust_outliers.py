@@ -174,8 +174,8 @@ def outliers(docs: DataFrame) -> DataFrame:
 def keep_usual(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns."""
     one = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "lang", "source")
-    fitted = fit(statistics(one.select("text", "lang", "source")).drop("text"))
-    return judge(statistics(one), fitted).where("kept and _fence >= 0").select("_doc.*")
+    stats = common.materialize(statistics(one).drop("text"), "statistics")  # once, as they cost more than a copy of the texts
+    return judge(stats, fit(stats.drop("_doc"))).where("kept").select("_doc.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,6 @@ one shingle of all its words; repeated keys are one row.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -81,8 +79,8 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def nodes_of(docs: DataFrame) -> DataFrame:
     """``key, text`` -> ``key, node, bands`` of the rows with words."""
 
+    @common.tidy
     def run(batches):
-        gc.disable()
         for keys, texts in common.chunks(batches, CHUNK_BYTES):
             h, starts = shingle_sets(texts)
             some = np.flatnonzero(np.diff(starts))
@@ -99,8 +97,8 @@ def nodes_of(docs: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame) -> DataFrame:
     """``node, text`` -> ``node, shingles`` (distinct hashes)."""
 
+    @common.tidy
     def run(batches):
-        gc.disable()
         for keys, texts in common.chunks(batches, CHUNK_BYTES):
             h, starts = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h.view(np.int64)))], names=["node", "shingles"])
