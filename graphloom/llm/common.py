@@ -15,7 +15,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; also what bytes.split() and Arrow's ASCII split use.
@@ -136,6 +136,23 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def running(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """Adds columns: of each (long) expression the sum over all rows before this one in a total order; of 1, the row's
+    place from 0. Rows are range-partitioned, so that no task gets them all; the driver gets one row per partition.
+    """
+    spark = df.sparkSession
+    laid = materialize(df.repartitionByRange(parts(spark), *order).withColumn("_range", F.spark_partition_id()), "ordered")
+    ends = laid.groupBy("_range").agg(*[F.sum(x).alias(name) for name, x in sums.items()]).orderBy("_range").collect()
+    before, rows = [0] * len(sums), []
+    for r in ends:
+        rows.append((r[0], *before))
+        before = [a + (b or 0) for a, b in zip(before, r[1:], strict=True)]
+    offsets = spark.createDataFrame(rows, "_range int, " + ", ".join(f"_o_{name} long" for name in sums))
+    earlier = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    got = laid.withColumns({f"_s_{name}": F.coalesce(F.sum(x).over(earlier), F.lit(0)) for name, x in sums.items()}).join(F.broadcast(offsets), "_range")
+    return got.select(*df.columns, *[(F.col(f"_s_{name}") + F.col(f"_o_{name}")).cast("long").alias(name) for name in sums])
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the id written as text, modulo m (a null id counts as the empty string)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(m)
