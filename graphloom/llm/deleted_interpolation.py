@@ -3,8 +3,9 @@
 p(w | context) = sum_k lambda_k(b) p_k(w | last k - 1 words), where p_0 is uniform over the vocabulary and one
 unknown word, p_k are maximum-likelihood n-gram estimates, and the weights depend on the bucket b of the
 contexts' training frequencies (powers of two). Weights are learned by expectation-maximisation on the counts
-of a held-out part of the training documents (HELD_FOLD), with estimates from the rest of them; scores then
-use the counts of all training documents.
+of a held-out part of the training documents (HELD_FOLD), with estimates from the rest of them, until a step raises
+the held-out logarithmic likelihood by less than TOLERANCE a token (EM_STEPS bounds the steps); scores then use the
+counts of all training documents.
 
 Texts are tokenised once into batches of some BATCH_TOKENS tokens with local word numbers. For every order a
 batch sends each distinct n-gram once, as part of one sorted, packed block per key range, with its counts; the
@@ -15,12 +16,12 @@ EM's sums for the buckets.
 
 Defined cases: a null or empty text is one end token; null ids count as the empty string for the folds; without
 training documents every word is unknown; repeated rows count each; an empty table gives an empty table.
-N-grams are told apart by 64-bit hashes of their words.
+N-grams are told apart by 64-bit hashes of their words. Very long texts are batches of their own size; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import zlib
 from functools import reduce
 
@@ -39,11 +40,9 @@ ORDER = 3
 #: Documents with crc32 of their id in fold SCORED of FOLDS never train; those in HELD_FOLD train the weights.
 FOLDS, SCORED, HELD_FOLD = 7, 2, 3
 BATCH_TOKENS, RANGE_KEYS, CHUNK_BYTES = 1_000_000, 2_000_000, 6_000_000
-EM_STEPS, FLOOR = 8, 1e-4
+EM_STEPS, TOLERANCE, FLOOR = 60, 1e-5, 1e-4
 #: Classes of context frequencies: 0, 1, 2-3, 4-7, ... for the context of 1, 2, ... words.
 CLASSES = (16, 10, 8, 8)
-#: Likelihoods are rounded to this many steps per power of two for EM.
-STEPS_PER_OCTAVE, DEPTH = 2, 40
 #: Hashes of what precedes and ends a text; white space is in no word.
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\t", b"\n"))
 
@@ -84,7 +83,7 @@ def grams(tokens: np.ndarray, words: np.ndarray, lens: np.ndarray, order: int) -
         before[1:] = out[-1][:-1]
         before[first] = start
         out.append(common.mix64(before * np.uint64(0x9E3779B97F4A7C15) + h))
-        start = common.mix64(np.array([start * np.uint64(0x9E3779B97F4A7C15) + START], np.uint64))[0]
+        start = common.mix64(np.array([start], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + START)[0]
     return out, first
 
 
@@ -96,8 +95,8 @@ def batches_of(docs: DataFrame) -> DataFrame:
     common.ship(docs.sparkSession)
     schema = pa.schema([("batch", pa.int64()), ("held", pa.bool_()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("train", "lens", "tokens", "words")], ("n", pa.int64()), ("texts", pa.int64())])
 
+    @common.tidy
     def run(batches):
-        gc.disable()
         made = 0
         stock: dict[bool, list] = {False: [], True: []}
         size = {False: 0, True: 0}
@@ -223,32 +222,40 @@ def mixture_inputs(counts: list[np.ndarray], first: np.ndarray, texts: float, to
 
 
 def learn_weights(held: DataFrame, n_buckets: int, order: int) -> np.ndarray:
-    """EM over held-out tokens grouped by bucket and rounded likelihoods: ``bucket, r_1..r_order, n``.
+    """EM over held-out tokens: ``bucket`` (32-bit) and ``p`` (32-bit floats, order + 1 a token), one row per batch.
 
     Each step adds up responsibilities by bucket on the executors; the driver gets one sum per bucket and order.
     Buckets without held-out tokens take the weights of all tokens together.
     """
-    weights = np.full((n_buckets, order + 1), 1.0 / (order + 1))
+    weights, before = np.full((n_buckets, order + 1), 1.0 / (order + 1)), -np.inf
+    names = [f"w{k}" for k in range(order + 1)]
     for _ in range(EM_STEPS):
 
         def expect(batches, weights=weights):
-            total = np.zeros((n_buckets, order + 1))
+            total, gain = np.zeros((n_buckets, order + 1)), np.zeros(n_buckets)
             for b in batches:
-                c = [x.to_numpy() for x in b.columns]
-                p = np.stack([np.where(x <= -DEPTH * STEPS_PER_OCTAVE, 0.0, np.exp2(x / STEPS_PER_OCTAVE)) for x in c[1:-1]], axis=1)
-                joint = p * weights[c[0]]
-                joint /= np.maximum(joint.sum(1, keepdims=True), 1e-300)
-                np.add.at(total, c[0], joint * c[-1][:, None])
+                for packed, likely in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    bucket = unpack(packed, np.int32)
+                    joint = unpack(likely, np.float32).reshape(-1, order + 1) * weights[bucket]
+                    every = joint.sum(1)
+                    joint /= every[:, None]
+                    for k in range(order + 1):
+                        total[:, k] += np.bincount(bucket, weights=joint[:, k], minlength=n_buckets)
+                    gain += np.bincount(bucket, weights=np.log(every), minlength=n_buckets)
             some = np.flatnonzero(total.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, k]) for k in range(order + 1)]], names=["bucket", *[f"w{k}" for k in range(order + 1)]])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(gain[some]), *[pa.array(total[some, k]) for k in range(order + 1)]], names=["bucket", "gain", *names])
 
-        got = held.mapInArrow(expect, "bucket long, " + ", ".join(f"w{k} double" for k in range(order + 1))).groupBy("bucket").agg(*[F.sum(f"w{k}") for k in range(order + 1)]).collect()
+        got = held.mapInArrow(expect, "bucket long, gain double, " + ", ".join(f"{w} double" for w in names)).groupBy("bucket").agg(*[F.sum(c) for c in ("gain", *names)]).collect()
         sums = np.zeros((n_buckets, order + 1))
         for r in got:
-            sums[r[0]] = r[1:]
+            sums[r[0]] = r[2:]
+        tokens, likelihood = sums.sum(), sum(r[1] for r in got)
         pooled = sums.sum(0) if sums.any() else np.ones(order + 1)
         sums[sums.sum(1) == 0] = pooled
         weights = sums / sums.sum(1, keepdims=True)
+        if likelihood - before <= TOLERANCE * tokens:
+            break
+        before = likelihood
     weights = np.maximum(weights, np.where(np.arange(order + 1) == 0, FLOOR, 0))
     return weights / weights.sum(1, keepdims=True)
 
@@ -262,7 +269,6 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     tables = []
     for k in range(1, order + 1):  # one order after the other, so that one order's shuffle is on disk at a time
         tables.append(common.materialize(count(batches, ranges, k), "counts"))
-        common.release(spark)
     back = reduce(DataFrame.unionByName, tables)
     n, n_held, v = tables[0].where("batch = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_held", "v")]).first()
     back = back.where("batch >= 0").select("batch", "k", "part", "counts")
@@ -272,18 +278,12 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def likelihoods(left: pa.Table, right: pa.Table) -> pa.Table:
         _, first, counts = event_counts(right.to_pylist()[0], left, order)
         p, bucket = mixture_inputs([c[0] - c[1] for c in counts], first, rest_texts, float(n - n_held), float(v))
-        with np.errstate(divide="ignore"):
-            r = np.maximum(np.round(np.log2(p) * STEPS_PER_OCTAVE), -DEPTH * STEPS_PER_OCTAVE).astype(np.int64)
-        key, times = np.unique(np.column_stack([bucket, r]), axis=0, return_counts=True)
-        return pa.table([pa.array(c) for c in [*key.T, times]], names=["bucket", *[f"r{k}" for k in range(order + 1)], "n"])
+        return pa.table([pa.array([pack(bucket.astype(np.int32))], pa.binary()), pa.array([pack(p.astype(np.float32))], pa.binary())], names=["bucket", "p"])
 
-    kind = "bucket long, " + ", ".join(f"r{k} long" for k in range(order + 1)) + ", n long"
     held = batches.where("held")
-    vectors = back.join(held.select("batch"), "batch", "left_semi").groupBy("batch").cogroup(held.groupBy("batch")).applyInArrow(likelihoods, kind)
-    vectors = common.materialize(vectors.groupBy(*[c for c in vectors.columns if c != "n"]).agg(F.sum("n").alias("n")), "heldout")
-    common.release(spark)
+    vectors = back.join(held.select("batch"), "batch", "left_semi").groupBy("batch").cogroup(held.groupBy("batch")).applyInArrow(likelihoods, "bucket binary, p binary")
+    vectors = common.materialize(vectors, "heldout")
     weights = learn_weights(vectors, n_buckets, order)
-    common.release(spark)
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         row = right.to_pylist()[0]
