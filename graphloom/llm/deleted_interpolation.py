@@ -142,11 +142,13 @@ def open_batch(row: dict, order: int):
     return lens, keys, first, train
 
 
-def bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each key range begins in sorted keys; range r holds keys with (key >> 32) * ranges >> 32 = r."""
-    edge = [-(-(r << 64) // ranges) for r in range(ranges)]
-    edge = [-(-e >> 32) << 32 if e & 0xFFFFFFFF else e for e in edge]
-    return np.append(np.searchsorted(keys, np.array(edge, np.uint64)), len(keys))
+def bounds(keys: np.ndarray, ranges: int) -> tuple[list[int], np.ndarray]:
+    """The key ranges that sorted keys fall into (key k is in (k >> 32) * ranges >> 32), and where each one's begin.
+
+    Work and result grow with the keys, not with the number of ranges.
+    """
+    some, begin = np.unique((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), return_index=True)
+    return some.tolist(), np.append(begin, len(keys))
 
 
 def count(batches: DataFrame, ranges: int, k: int) -> DataFrame:
@@ -161,14 +163,13 @@ def count(batches: DataFrame, ranges: int, k: int) -> DataFrame:
                 distinct, at = np.unique(keys[-1], return_inverse=True)
                 n_train = np.bincount(at, weights=train, minlength=len(distinct)).astype(np.uint32)
                 n_held = np.bincount(at, weights=held, minlength=len(distinct)).astype(np.uint32)
-                cut = bounds(distinct, ranges)
-                some = [r for r in range(ranges) if cut[r] < cut[r + 1]]
+                some, cut = bounds(distinct, ranges)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(some, pa.int64()),
                         pa.array([row["batch"]] * len(some), pa.int64()),
-                        pa.array([pack_keys(distinct[cut[r] : cut[r + 1]]) for r in some], pa.binary()),
-                        pa.array([pack(np.stack([n_train[cut[r] : cut[r + 1]], n_held[cut[r] : cut[r + 1]]])) for r in some], pa.binary()),
+                        pa.array([pack_keys(distinct[i:j]) for i, j in zip(cut, cut[1:], strict=False)], pa.binary()),
+                        pa.array([pack(np.stack([n_train[i:j], n_held[i:j]])) for i, j in zip(cut, cut[1:], strict=False)], pa.binary()),
                     ],
                     names=["range", "batch", "keys", "counts"],
                 )
