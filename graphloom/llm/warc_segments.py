@@ -10,9 +10,15 @@ Reading: whole files are split by Content-Length; complete records are decoded w
 pieces of segmented ones are shuffled: grouped by origin id, ordered by number, checked against the total
 length (and for gaps and doubles), joined, and freed of the chunk framing.
 
+A revisit's size, digest and check come from the response that it refers to, as read.
+
 Defined cases: a null html is an empty payload; a null url is written as an empty header; rows that repeat an
-id get records of their own and are no revisits of each other; a null id comes back null; empty tables give
-empty archives. Records that fail a check come back with ``verified`` false, never dropped.
+id get records of their own and are no revisits of each other; a null id comes back null, and revisits an equal payload
+that has an id; empty tables give empty archives; columns other than page_id, url and html are ignored, whatever their
+names. Records that fail a check come back with ``verified`` false, never dropped: wrong digests, lengths or framing,
+missing, doubled or unnumbered segments, continuations without origin, revisits without their response, records whose
+Content-Length is absent, no number or does not lead to the next record (reading goes on at the next record's
+first line), and headers cut by the end of the file.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 END = "\r\n\r\n"
+HEX, NEXT = re.compile(rb"[0-9A-Fa-f]{1,15}"), re.compile(rb"\r\n\r\n(?=WARC/\d)")
 #: Records to a file.
 FILE_RECORDS = 2000
 
@@ -48,12 +55,10 @@ def unframe(body: bytes) -> tuple[bytes, bool]:
     out, at = [], 0
     while True:
         end = body.find(b"\r\n", at)
-        if end < 0:
-            return b"".join(out), False
-        try:
-            n = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not HEX.fullmatch(size):
             return b"".join(out), False
+        n = int(size, 16)
         if n == 0:
             return b"".join(out), True
         out.append(body[end + 2 : end + 2 + n])
@@ -95,9 +100,12 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     p = p.withColumn("digest", F.sha2("payload", 256))
     keys = p.select("page_id", "digest", (F.octet_length("payload") >= MIN_REVISIT).alias("long")).where("page_id is not null")
     first = keys.where("long").groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = common.materialize(first, "first")
     about = keys.join(first, "digest", "left").groupBy("page_id").agg(F.count("*").alias("copies"), F.map_from_entries(F.collect_set(F.when(F.col("long") & (F.col("page_id") > F.col("first")), F.struct("digest", "first")))).alias("firsts"))
     # the payloads move once, by id
-    rows = p.join(about, "page_id", "left").select("page_id", "url", "payload", "digest", F.expr("try_element_at(firsts, digest)").alias("first"), (F.coalesce("copies", F.lit(2)) > 1).alias("repeated"))
+    rows = p.join(about, "page_id").select("page_id", "url", "payload", "digest", F.expr("try_element_at(firsts, digest)").alias("first"), (F.col("copies") > 1).alias("repeated"))
+    unnamed = p.where("page_id is null").join(first, "digest", "left").select("page_id", "url", "payload", "digest", "first", F.lit(True).alias("repeated"))
+    rows = rows.unionByName(unnamed)
 
     def run(batches):
         made = 0
@@ -113,17 +121,29 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def number(text: str | None) -> int | None:
+    """A decimal number of a header; null if it is absent or none."""
+    return int(text) if text is not None and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
 def split_records(data: bytes):
-    """(header fields, block) of each record of an archive."""
+    """(header fields, block, sound) of each record of an archive; an unsound one ends where the next seems to begin."""
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
+        stop = len(data) if end < 0 else end
+        head = {k.strip().lower(): v.strip() for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:] for k, _, v in [line.partition(":")]}
         if end < 0:
+            yield head, b"", False
             return
-        head = {k.strip().lower(): v.strip() for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] for k, _, v in [line.partition(":")]}
-        n = int(head.get("content-length", 0))
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + len(END)
+        n, after = number(head.get("content-length")), end + 4
+        to = after + (n or 0)
+        sound = n is not None and data[at : at + 5] == b"WARC/" and to <= len(data) and (to == len(data) or data[to : to + 4] == END.encode() and (to + 4 == len(data) or data[to + 4 : to + 9] == b"WARC/"))
+        if not sound:
+            found = NEXT.search(data, end)
+            to = found.start() if found else len(data)
+        yield head, data[after : max(after, to)], sound
+        at = max(to, end) + 4
 
 
 def decode_block(block: bytes) -> tuple[bytes, bool]:
@@ -138,7 +158,7 @@ def _row(head: dict, payload: bytes | None, whole: bool, keep: bool) -> dict:
     want = head.get("warc-payload-digest", "").removeprefix("sha256:")
     kind = head.get("warc-type")
     if kind == "revisit":
-        size, digest, ok = int(head.get("warc-payload-length", -1)), want, whole
+        size, digest, ok = number(head.get("warc-payload-length")), want, whole
     else:
         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
         ok = whole and digest == want
@@ -162,18 +182,19 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if data[:2] == b"\x1f\x8b":
                     data = _gunzip(data)
                 rows = []
-                for head, block in split_records(data):
+                for head, block, sound in split_records(data):
                     kind = head.get("warc-type")
-                    if kind == "continuation" or "warc-segment-number" in head:
-                        origin = head.get("warc-segment-origin-id" if kind == "continuation" else "warc-record-id", "").strip("<>")
-                        total = head.get("warc-segment-total-length")
+                    origin = head.get("warc-segment-origin-id" if kind == "continuation" else "warc-record-id", "").strip("<>")
+                    if sound and origin and (kind == "continuation" or "warc-segment-number" in head):
                         about = {} if kind == "continuation" else {"target_uri": head.get("warc-target-uri"), "record_type": kind, "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha256:")}
-                        rows.append(about | {"origin": origin, "number": int(head.get("warc-segment-number", 0)), "total": None if total is None else int(total), "part": block})
+                        rows.append(about | {"origin": origin, "number": number(head.get("warc-segment-number")), "total": number(head.get("warc-segment-total-length")), "part": block})
                     elif kind == "revisit":
-                        rows.append(_row(head, None, True, False))
+                        rows.append(_row(head, None, sound, False))
                     elif kind in ("response", "resource"):
                         payload, whole = decode_block(block) if kind == "response" else (block, True)
-                        rows.append(_row(head, payload, whole, payloads))
+                        rows.append(_row(head, payload, whole and sound, payloads))
+                    elif not sound or kind == "continuation":
+                        rows.append(_row(head, block, False, payloads))
                 for i in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_pylist(rows[i : i + 500], schema=_PARTS_ARROW)
 
@@ -191,7 +212,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     got = common.materialize(files.mapInArrow(parse, _OUT + _PARTS), "records")
     pieces = got.where("origin is not null").groupBy("origin").agg(F.max("record_type").alias("record_type"), F.max("target_uri").alias("target_uri"), F.max("payload_digest").alias("payload_digest"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("number", "part"))).alias("parts"))  # one record's pieces
-    return got.where("origin is null").select(*_OUT_ARROW.names).unionByName(pieces.mapInArrow(join, _OUT))
+    joined = common.materialize(pieces.mapInArrow(join, _OUT), "joined")
+    rows = got.where("origin is null").select(*_OUT_ARROW.names).unionByName(joined)
+    # what revisits refer to: ids, sizes and digests only
+    full = rows.where("record_type in ('response', 'resource')").groupBy(F.col("record_id").alias("refers_to_record")).agg(F.max(F.struct("verified", "payload_digest", "payload_bytes")).alias("_r"))
+    revisits = rows.where("record_type = 'revisit'").withColumnRenamed("payload_digest", "_want").withColumnRenamed("payload_bytes", "_size").withColumnRenamed("verified", "_sound").drop("payload").join(full, "refers_to_record", "left")
+    sound = F.col("_sound") & F.col("_r.verified") & (F.col("_r.payload_digest") == F.col("_want")) & (F.coalesce("_size", "_r.payload_bytes") == F.col("_r.payload_bytes"))
+    revisits = revisits.select("record_id", "target_uri", "record_type", "refers_to_record", F.coalesce("_r.payload_bytes", "_size", F.lit(-1)).cast("long").alias("payload_bytes"), F.coalesce("_r.payload_digest", "_want").alias("payload_digest"), F.coalesce(sound, F.lit(False)).alias("verified"), F.lit(None).cast("binary").alias("payload"))
+    return rows.where("record_type is distinct from 'revisit'").unionByName(revisits)
 
 
 def _gunzip(data: bytes) -> bytes:
@@ -199,7 +227,10 @@ def _gunzip(data: bytes) -> bytes:
     out = []
     while data:
         d = zlib.decompressobj(31)
-        out += [d.decompress(data), d.flush()]
+        try:
+            out += [d.decompress(data), d.flush()]
+        except zlib.error:  # a damaged member ends the file; what was cut shows as a record that is not whole
+            break
         data = d.unused_data
     return b"".join(out)
 
@@ -221,7 +252,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = f"""
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
 first AS (SELECT payload_digest, min(page_id) AS f FROM p WHERE payload_bytes >= {MIN_REVISIT} GROUP BY 1)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id > f THEN f END AS refers_to, true AS verified
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f IS NOT NULL AND coalesce(page_id > f, true) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f IS NOT NULL AND coalesce(page_id > f, true) THEN f END AS refers_to, true AS verified
 FROM p LEFT JOIN first USING (payload_digest)
 """
