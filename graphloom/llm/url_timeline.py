@@ -6,13 +6,17 @@ action, ``block`` or ``clear``. Per pattern the entries in order of time become
 parent domain are looked up, an as-of join finds each one's interval, and the capture is blocked if the most
 specific pattern with an active entry says so.
 
-The join is an equi-join on the host suffixes of *distinct* (host, day) pairs, so a host that holds a third of
-all captures is joined once a day, and lookups shuffle only suffixes; as-of is the interval predicate of that
-join. Blocked pairs are joined back to the captures.
+The join is an equi-join on the host suffixes of *distinct* (host, fetch time) pairs, so a host that holds a third of
+all captures is joined once a time (once a day, if times are days); as-of is the interval predicate of that join. Up to
+BROADCAST_ENTRIES intervals, counted, are broadcast, so that suffixes do not move at all. Beyond, suffixes and intervals
+are shuffled, and patterns with more than HOT pairs, such as a listed top-level domain, are dealt over SALTS keys. Blocked
+pairs are joined back to the captures.
 
 Defined cases: an unparsable or null url has no host and is never blocked; an entry without pattern or date is
 ignored; of several entries of a pattern at one time ``block`` wins; a capture without fetch time is never
-blocked; repeated captures are judged each; empty tables on either side work.
+blocked; repeated captures are judged each; empty tables on either side work; urls of any length have all their
+suffixes looked up. Input columns keep their values; one that is called like a result (``host``, ``blocked``,
+``decided_by``, in any case) comes out with ``input_`` before its name.
 """
 
 from __future__ import annotations
@@ -20,8 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import common
+
 #: Days over which the demonstration tables of op2 spread captures and list changes.
 SPAN, CHANGES = 360, 4
+#: Intervals that are broadcast at most; pairs from which a pattern is dealt over SALTS keys when they are not.
+BROADCAST_ENTRIES, HOT, SALTS = 200_000, 100_000, 64
+RESULTS = ("host", "blocked", "decided_by")
 
 
 def host(url: Column) -> Column:
@@ -42,17 +51,34 @@ def intervals(entries: DataFrame) -> DataFrame:
     return at.withColumn("until", F.lead("since").over(Window.partitionBy("pattern").orderBy("since")))
 
 
+def as_of(looked: DataFrame, spans: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES, hot: int = HOT) -> DataFrame:
+    """``_h, _f, _depth, pattern`` with the ``action`` of the pattern's interval that holds at ``_f``."""
+    inside = (F.col("_f") >= F.col("since")) & (F.col("until").isNull() | (F.col("_f") < F.col("until")))
+    if spans.count() <= broadcast_entries:
+        return looked.join(F.broadcast(spans), "pattern").where(inside)
+    many = looked.join(spans.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    many = F.broadcast(common.materialize(many.select("pattern", F.lit(SALTS).alias("_salts")), "hot"))  # at most pairs / hot rows
+    salts = F.coalesce("_salts", F.lit(1))
+    left = looked.join(many, "pattern", "left").withColumn("_salt", F.pmod(F.xxhash64("_h", "_f"), salts).cast("int"))
+    right = spans.join(many, "pattern", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.join(right.drop("_salts"), ["pattern", "_salt"]).where(inside)
+
+
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """The captures with ``host, blocked, decided_by`` (the deciding pattern, null if none is active)."""
-    c = captures.withColumn("host", host(F.col(url)))
-    pairs = c.where(F.col("host").isNotNull() & F.col(fetched).isNotNull()).select(F.col("host").alias("_h"), F.col(fetched).alias("_f")).distinct()
+    names = list(RESULTS)
+    for c in captures.columns:
+        while c.lower() in names:
+            c = f"input_{c}"
+        names.append(c.lower())
+    c = captures.select(F.struct(*[captures[x].alias(f"c{i}") for i, x in enumerate(captures.columns)]).alias("_row"), host(captures[url]).alias("_h"), captures[fetched].alias("_f"))
+    pairs = c.where(F.col("_h").isNotNull() & F.col("_f").isNotNull()).select("_h", "_f").distinct()
     looked = pairs.select("_h", "_f", F.posexplode(suffixes(F.col("_h"))).alias("_depth", "pattern"))
-    v = intervals(entries)
-    active = looked.join(v, (looked["pattern"] == v["pattern"]) & (looked["_f"] >= v["since"]) & (v["until"].isNull() | (looked["_f"] < v["until"])))
-    verdict = active.groupBy("_h", "_f").agg(F.min(F.struct("_depth", looked["pattern"].alias("decided_by"), "action")).alias("_best"))
-    verdict = verdict.select("_h", "_f", F.col("_best.decided_by").alias("decided_by"), (F.col("_best.action") == "block").alias("blocked"))
-    out = c.join(verdict, (c["host"] == verdict["_h"]) & (c[fetched] == verdict["_f"]), "left")
-    return out.select(*c.columns, F.coalesce("blocked", F.lit(False)).alias("blocked"), "decided_by")
+    active = as_of(looked, common.materialize(intervals(entries), "intervals"))
+    verdict = active.groupBy("_h", "_f").agg(F.min(F.struct("_depth", "pattern", "action")).alias("_best"))
+    out = c.join(verdict, ["_h", "_f"], "left")
+    shown = [F.col(f"_row.c{i}").alias(x if x.lower() == n else n[: len(n) - len(x)] + x) for i, (x, n) in enumerate(zip(captures.columns, names[len(RESULTS) :], strict=True))]
+    return out.select(*shown, F.col("_h").alias("host"), F.coalesce(F.col("_best.action") == "block", F.lit(False)).alias("blocked"), F.col("_best.pattern").alias("decided_by"))
 
 
 def demonstration(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +115,7 @@ listed AS (
 ), spans AS (
   SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM entries
 ), looked AS (
-  SELECT DISTINCT host, fetched_at, d AS depth, array_to_string(string_split(host, '.')[d:], '.') AS pattern FROM c, range(1, 12) r(d) WHERE d <= len(string_split(host, '.'))
+  SELECT DISTINCT host, fetched_at, d AS depth, array_to_string(string_split(host, '.')[d:], '.') AS pattern FROM (SELECT host, fetched_at, unnest(range(1, len(string_split(host, '.')) + 1)) AS d FROM c WHERE host IS NOT NULL)
 ), verdict AS (
   SELECT host, fetched_at, arg_min(l.pattern, depth) AS decided_by, arg_min(action = 'block', depth) AS blocked
   FROM looked l JOIN spans s ON l.pattern = s.pattern AND fetched_at >= since AND (until IS NULL OR fetched_at < until) GROUP BY 1, 2

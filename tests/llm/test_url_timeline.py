@@ -39,3 +39,18 @@ def test_as_of_join(spark):
     assert sorted(((r.page_id, r.blocked, r.decided_by) for r in got.collect()), key=str) == plain(CAPTURES, ENTRIES)
     assert u.judge(c.limit(0), e).count() == 0
     assert u.judge(c, e.limit(0)).where("blocked").count() == 0
+
+
+def test_clashing_columns_and_large_lists(spark, monkeypatch):
+    rows = [(*r, "mine", 7, "d") for r in CAPTURES] + [(10, "http://" + "a." * 40 + "b.example.com/" + "x" * 100_000, 40, "z", "mine", 7, "d")]
+    c = spark.createDataFrame(rows, "page_id long, url string, fetched_at long, pattern string, Host string, blocked int, _h string")
+    e = spark.createDataFrame(ENTRIES, "pattern string, action string, listed_at long")
+    want = plain([r[:4] for r in rows], ENTRIES)
+    got = u.judge(c, e)
+    assert got.columns == ["page_id", "url", "fetched_at", "pattern", "input_Host", "input_blocked", "_h", "host", "blocked", "decided_by"]
+    assert sorted(((r.page_id, r.blocked, r.decided_by) for r in got.collect()), key=str) == want
+    assert {(r.input_Host, r.input_blocked, r._h) for r in got.collect()} == {("mine", 7, "d")}
+    spans, shuffled = u.intervals(e), u.as_of
+    monkeypatch.setattr(u, "as_of", lambda looked, spans: shuffled(looked, spans, 0, 1))
+    assert sorted(((r.page_id, r.blocked, r.decided_by) for r in u.judge(c, e).collect()), key=str) == want
+    assert spans.count() == 6
