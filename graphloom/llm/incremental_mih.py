@@ -6,15 +6,15 @@ value. After segments 0..j are done at radius r and the others at r - 1, every c
 bits has been a candidate, as a code further off in every segment would differ in more bits. A query ends
 when its kth verified distance is at most that bound. Ties are broken by id, so the answer is unique.
 
-Rows and queries are dealt as a grid: BLOCK queries against a range of distinct codes to a task, which builds
-that range's index; the k best of the ranges are then merged. Equal codes are one index entry with their k
+Distinct codes are dealt over ranges; a task builds a range's index once and all queries stream past it, BLOCK answers
+at a time; the k best of the ranges are then merged. Equal codes are one index entry with their k
 least ids, found by a window that keeps k rows per task and code before the shuffle, and equal queries are
 answered once. So neither hot codes nor many equal vectors multiply work, and a task's memory is bounded by a
-query block and a range of codes.
+range of codes and a block of answers.
 
 Defined cases: null vectors and ids are neither rows nor queries; shorter vectors have zero bits at the end and
 bits beyond BITS are not taken; with fewer than k rows all are returned; repeated rows count each; an empty table gives an
-empty result. A query finds itself too, as it is one of the rows.
+empty result; other columns are ignored, whatever their names. A query finds itself too, as it is one of the rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from graphloom.llm import common
 BITS, SEGMENTS, K = 64, 4, 10
 #: Ids divisible by this are queries.
 EVERY = 50
-#: Queries and distinct codes of a task; ranges are not split below LEAST codes.
+#: Queries answered at once and distinct codes of a range; ranges are not split below LEAST codes.
 BLOCK, RANGE, LEAST = 2048, 200_000, 5000
 
 
@@ -103,27 +103,41 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     least = rows.withColumn("_n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("_n") <= k)
     entries = common.materialize(least.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
     asked = common.materialize(queries.select("code").distinct(), "asked")
-    n_entries, n_asked = entries.count(), asked.count()
-    ranges, blocks = max(1, -(-n_entries // RANGE), min(common.parts(spark), n_entries // LEAST)), max(1, -(-n_asked // BLOCK))
-    part = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
-    left = entries.withColumn("range", part(ranges)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", part(blocks)).withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
-
-    def run(own: pa.Table, wanted: pa.Table) -> pa.Table:
-        code = own["code"].combine_chunks().to_numpy().view(np.uint64)
-        lists = own["ids"].combine_chunks()
-        offsets, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        index, out = Index(code), []
-        for q in wanted["code"].combine_chunks().to_numpy() if len(code) else []:
-            far, near = index.search(q.view(np.uint64), k, ids, offsets)
-            out.append((np.full(len(far), q), far, near))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["code", "distance", "vec_id"])
-
-    # as many partitions as cells, up to ten to each of the session's: small tables would be merged into one task
-    cells = min(ranges * blocks, 10 * common.parts(spark))
-    left, right = (x.repartition(cells, "block", "range") for x in (left, right))
-    found = left.groupBy("block", "range").cogroup(right.groupBy("block", "range")).applyInArrow(run, "code long, distance long, vec_id long")
+    n_entries = entries.count()
+    ranges = max(1, -(-n_entries // RANGE), min(common.parts(spark), n_entries // LEAST))
+    own = entries.select(F.pmod(F.xxhash64("code"), F.lit(ranges)).cast("int").alias("range"), F.lit(0).alias("kind"), "code", "ids")
+    to_all = asked.select(F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"), F.lit(1).alias("kind"), "code", F.lit(None).cast("array<bigint>").alias("ids"))
+
+    @common.tidy
+    def run(batches):
+        at, parts, index, ids, offsets = None, [], None, None, None
+        for b in batches:
+            place, kind = (b.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+            cuts = np.flatnonzero(np.diff(place * 2 + kind)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if i == j:
+                    continue
+                if place[i] != at:
+                    at, parts, index = place[i], [], None
+                some = b.slice(i, j - i)
+                if not kind[i]:
+                    parts.append(some)
+                    continue
+                if index is None and parts:
+                    lists = pa.concat_arrays([p.column(3) for p in parts])
+                    offsets, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+                    index = Index(pa.concat_arrays([p.column(2) for p in parts]).to_numpy().view(np.uint64))
+                    parts = []
+                if index is None:
+                    continue  # no codes in this range
+                asks = some.column(2).to_numpy()
+                for k0 in range(0, len(asks), BLOCK):
+                    out = [(np.full(len(far), q), far, near) for q in asks[k0 : k0 + BLOCK] for far, near in (index.search(q.view(np.uint64), k, ids, offsets),)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["code", "distance", "vec_id"])
+
+    # a range's codes come before the queries, which stream past its index
+    both = own.unionByName(to_all).repartition(ranges, "range").sortWithinPartitions("range", "kind")
+    found = both.mapInArrow(run, "code long, distance long, vec_id long")
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("distance", "vec_id")).cast("long")).where(F.col("rank") <= k)
     answers = found.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "distance"))).alias("_a"))
     return queries.select(F.col("id").alias("query_id"), "code").join(answers, "code").select("query_id", F.inline("_a"))
