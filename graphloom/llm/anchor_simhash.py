@@ -7,11 +7,14 @@ a covering code: the product of two perfect binary Golay codes (23 bits, coverin
 anchor within radius plus threshold (the threshold shared between the blocks). If x and y differ in at most
 ``threshold`` bits, y is replicated to x's home. Fingerprints are compared per anchor, over all 64 bits, only
 home against all; a task returns a spanning forest of the links that it saw, never all pairs of a group, and
-the forests' components are the near-duplicate classes.
+the forests' components are the near-duplicate classes. Replicas come to a task in the order of anchors, and it holds
+some ROWS_AT_ONCE of them or one anchor's. In an anchor of FLIP_FROM fingerprints or more the same links are found by
+looking up every fingerprint with up to ``threshold`` bits flipped among its members, which is linear in them.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a text of fewer words than
 a shingle has one shingle of all its words; repeated rows and ids come out as often as they come in; the class
-id is the least id reachable, null only if every id of the class is null; other columns are ignored.
+id is the least id reachable, null only if every id of the class is null; other columns are ignored; very long texts
+are taken whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SHINGLE, THRESHOLD = 3, 2
 CHUNK_BYTES = 8_000_000
 #: Pairs that a task compares at once, and members from which a bucket is searched by flipping bits instead.
 PAIRS_AT_ONCE, FLIP_FROM = 2_000_000, 20_000
+#: Replicas that a task gathers before it compares those of whole anchors, and nodes to a task (some 61 replicas each).
+ROWS_AT_ONCE, NODES_A_TASK = 500_000, 200_000
 
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
@@ -207,17 +212,30 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 anchor, row, home = anchors.replicate(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor << 1 | home), pa.array(fp[row].view(np.int64))], names=["anchor", "fp"])
 
+    @common.tidy
     def compare(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if got:
-            key, fp = (np.concatenate(x) for x in zip(*got, strict=True))
-            u, v = links(key >> 1, fp.view(np.uint64), (key & 1).astype(bool), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:  # in the order of anchors: whole anchors are compared as they come
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            if sum(len(k) for k, _ in held) < ROWS_AT_ONCE:
+                continue
+            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(key >> 1, key[-1] >> 1))
+            held = [(key[cut:], fp[cut:])]
+            if cut:
+                yield found(key[:cut], fp[:cut])
+        if held:
+            yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def found(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        u, v = links(key >> 1, fp.view(np.uint64), (key & 1).astype(bool), threshold)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     spark = nodes.sparkSession
     common.ship(spark)
     rows = nodes.select("fp").mapInArrow(spread, "anchor long, fp long")
-    return rows.repartition(common.parts(spark), F.expr("anchor div 2")).mapInArrow(compare, "u long, v long")
+    tasks = max(common.parts(spark), -(-nodes.count() // NODES_A_TASK))
+    return rows.repartition(tasks, F.expr("anchor div 2")).sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long")
 
 
 def classes(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
