@@ -2,24 +2,29 @@
 
 Each text's statistics are transformed to a vector (logarithm of the mean word length, square roots of shares)
 on a fixed grid of 1/GRID. Groups are (lang, source); sources with fewer than MIN_GROUP rows are pooled by
-language, and languages as small in one rest group. In each group the estimate starts at coordinate medians
-and median deviations; concentration steps then take the mean and covariance of the H_SHARE of rows with the
-smallest Mahalanobis distances until STEPS are done, and one reweighting step follows. FLOORS add to the
-variances, as many statistics are zero in most texts. Rows whose robust squared distance exceeds CUTOFF are
-rejected, apart from those that already fail the base rules.
-
-Everything is DataFrame expressions. Order statistics are taken of integer bins and sums of integers, so
-memory is bounded by the grid, hot groups combine before the shuffle, and reruns agree to the bit. Estimates
+language, and languages as small in one rest group. In each group the estimate starts at three places: coordinate medians
+with median deviations, the same centre with the covariance of the bounded (tanh) scores, and mean and
+covariance of all rows. A concentration step takes the mean and covariance of the H_SHARE of rows with the smallest
+Mahalanobis distances; after FIRST steps of each start the one of least determinant goes on, until a step lowers the
+determinant no more (MAX_STEPS bounds the steps). One reweighting step follows. FLOORS add to the variances, as many
+statistics are zero in most texts; determinants are those of the sums. Rows whose robust squared distance exceeds
+CUTOFF are rejected, apart from those that already fail the base rules.
+
+Everything is DataFrame expressions. A step is one pass over the rows, which adds up integer moments by group and
+bin of the distance (1/64 of an e-fold); the last bin that the H_SHARE takes counts with the weight that makes the share
+exact, so ties do not change its size. Order statistics are taken of integer bins and sums of integers, so memory is
+bounded by the grid, hot groups combine before the shuffle, and reruns agree to the bit. Estimates
 (one row per group) are broadcast only when they are counted to be at most BROADCAST_GROUPS.
 
 Defined cases: a null text is an empty one; a text without words fails the base rules; null lang or source are
-groups of their own; groups too small for any estimate keep what the base rules keep; repeated rows count and
-come out each; an empty table gives an empty table; other columns are ignored.
+groups of their own; groups too small for any estimate keep what the base rules keep; rows at equal distances share one
+verdict; repeated rows count and come out each; very long texts are one row like any other; an empty table gives an
+empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
@@ -28,9 +33,11 @@ WINDOW = 8
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Statistics of the vector, and the standard deviation that is added to each one's spread.
-FLOORS = {"word_len": 0.08, "symbols": 0.06, "dup_lines": 0.18, "repeats": 0.18, "upper": 0.06, "marks": 0.1}
+FLOORS = {"word_len": 0.08, "symbols": 0.06, "dup_lines": 0.12, "repeats": 0.18, "upper": 0.06, "marks": 0.1}
 GRID = 256
-H_SHARE, STEPS, MIN_GROUP = 0.75, 4, 60
+H_SHARE, FIRST, MAX_STEPS, MIN_GROUP = 0.75, 2, 50, 60
+#: Steps of the bounded scores in the second start.
+SCORES = 64
 #: Chi-square quantiles of six degrees of freedom: median, 0.975, and 0.9999 as the rejection limit.
 CHI_MEDIAN, CHI_INNER, CUTOFF = 5.348, 14.449, 27.856
 BROADCAST_GROUPS = 50_000
@@ -72,31 +79,39 @@ def statistics(docs: DataFrame) -> DataFrame:
     return d.drop("_t", "_w", "_solid", "_plain", "_lines", "_upper", "_marks", "_n_lines", "_h", "_again", "_s", "_p")
 
 
-def by_group(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Join one row per group; broadcast only if they are counted to be few."""
-    return df.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, keys, "left")
+def by_group(df: DataFrame, groups: DataFrame, keys: list[str], few: bool | None = None) -> DataFrame:
+    """Join one row per group; broadcast only if they are counted to be few (``few``, if they have been)."""
+    few = groups.count() <= BROADCAST_GROUPS if few is None else few
+    return df.join(F.broadcast(groups) if few else groups, keys, "left")
 
 
 def _key(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
 
 
-def _factor(moments: DataFrame) -> DataFrame:
-    """Means and the Cholesky factor of covariance plus floors, from exact integer sums ``n, s_*, q_*_*``."""
-    p = len(NAMES)
-    g = moments.where("n > 0").select("gid", *[(F.col(f"s_{i}") / F.col("n") / GRID).alias(f"m_{i}") for i in range(p)], "n", *[f"q_{i}_{j}" for i in range(p) for j in range(i + 1)])
+def _factor(moments: DataFrame, grid: int = GRID, floors: list[float] | None = None) -> DataFrame:
+    """Means, the Cholesky factor of covariance plus floors, and its logarithmic determinant, from sums ``n, s_*, q_*_*``."""
+    p, floors = len(NAMES), floors or list(FLOORS.values())
+    g = moments.where("n > 0").select("gid", "start", *[(F.col(f"s_{i}") / F.col("n") / grid).alias(f"m_{i}") for i in range(p)], "n", *[f"q_{i}_{j}" for i in range(p) for j in range(i + 1)])
     for i in range(p):
         for j in range(i + 1):
-            c = F.col(f"q_{i}_{j}") / F.col("n") / (GRID * GRID) - F.col(f"m_{i}") * F.col(f"m_{j}")
+            c = F.col(f"q_{i}_{j}") / F.col("n") / (grid * grid) - F.col(f"m_{i}") * F.col(f"m_{j}")
             for k in range(j):
                 c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             if i == j:
-                low = FLOORS[NAMES[i]] ** 2
+                low = floors[i] ** 2
                 c = F.sqrt(F.greatest(c + F.lit(low), F.lit(low)))
             else:
                 c = c / F.col(f"l_{j}_{j}")
             g = g.withColumn(f"l_{i}_{j}", c)
-    return g.select("gid", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return g.select("gid", "start", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)], _logdet())
+
+
+def _logdet() -> Column:
+    total = F.lit(0.0)
+    for i in range(len(NAMES)):
+        total = total + 2 * F.log(F.col(f"l_{i}_{i}"))
+    return total.alias("logdet")
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -116,11 +131,54 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log(d2 + F.lit(1e-6)) * 64).cast("long")
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    x = [F.col(f"_x_{n}") for n in NAMES]
-    sums = [F.sum(a).alias(f"s_{i}") for i, a in enumerate(x)]
-    squares = [F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in range(len(x)) for j in range(i + 1)]
-    return rows.groupBy("gid").agg(F.count("*").alias("n"), *sums, *squares)
+def _sums(x: list[Column]) -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(a).alias(f"s_{i}") for i, a in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in range(len(x)) for j in range(i + 1)]]
+
+
+MOMENTS = [*[f"s_{i}" for i in range(len(NAMES))], *[f"q_{i}_{j}" for i in range(len(NAMES)) for j in range(i + 1)]]
+
+
+def _binned(rows: DataFrame, est: DataFrame, few: bool) -> DataFrame:
+    """Integer moments of each group, start and bin of the distance, with the rows ``before`` it and in ``total``."""
+    d = _distance(by_group(rows, est, ["gid"], few)).withColumn("bin", _bin(F.col("d2")))
+    b = d.groupBy("gid", "start", "bin").agg(*_sums([F.col(f"_x_{n}") for n in NAMES]))
+    own = Window.partitionBy("gid", "start")
+    return b.withColumns({"before": F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(own)})
+
+
+def _concentrate(rows: DataFrame, est: DataFrame, few: bool) -> DataFrame:
+    """One step: estimates from the H_SHARE of each group's rows that are nearest."""
+    b = _binned(rows, est, few).withColumn("h", F.ceil(F.col("total") * F.lit(H_SHARE)))
+    whole = F.col("before") + F.col("n") <= F.col("h")
+    edge = ~whole & (F.col("before") < F.col("h"))  # one bin at most
+    share = (F.col("h") - F.col("before")) / F.col("n")
+    taken = [(F.coalesce(F.sum(F.when(whole, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(edge, F.col(c) * share)), F.lit(0.0))).alias(c) for c in MOMENTS]
+    return _factor(b.groupBy("gid", "start").agg(F.max("h").alias("n"), *taken))
+
+
+def _scale(median: Column) -> Column:
+    return F.exp((median + F.lit(0.5)) / 64) / F.lit(CHI_MEDIAN)
+
+
+def _median() -> Column:
+    return F.min(F.when(2 * (F.col("before") + F.col("n")) >= F.col("total"), F.col("bin")))
+
+
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """The three first estimates of each group."""
+    p = range(len(NAMES))
+    med = common.materialize(rows.groupBy("gid").agg(*[F.percentile(f"_x_{n}", 0.5).alias(f"a_{i}") for i, n in enumerate(NAMES)]), "medians")
+    off = by_group(rows, med, ["gid"], few)
+    mad = off.groupBy("gid").agg(*[F.first(f"a_{i}").alias(f"a_{i}") for i in p], *[F.percentile(F.abs(F.col(f"_x_{n}") - F.col(f"a_{i}")).cast("long"), 0.5).alias(f"b_{i}") for i, n in enumerate(NAMES)])
+    # medians and spreads in units of the statistics
+    mad = common.materialize(mad.select("gid", *[(F.col(f"a_{i}") / GRID).alias(f"a_{i}") for i in p], *[F.sqrt((F.col(f"b_{i}") * 1.4826 / GRID) ** 2 + F.lit(FLOORS[n] ** 2)).alias(f"b_{i}") for i, n in enumerate(NAMES)]), "spreads")
+    centre = [F.col(f"a_{i}").alias(f"m_{i}") for i in p]
+    diagonal = mad.select("gid", F.lit(0).alias("start"), *centre, *[(F.col(f"b_{i}") if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in p for j in range(i + 1)])
+    score = [F.round(F.tanh((F.col(f"_x_{n}") / GRID - F.col(f"a_{i}")) / F.col(f"b_{i}")) * SCORES).cast("long") for i, n in enumerate(NAMES)]
+    bounded = _factor(by_group(rows, mad, ["gid"], few).groupBy("gid").agg(*_sums(score)).withColumn("start", F.lit(1)), SCORES, [1 / SCORES] * len(NAMES))
+    bounded = bounded.select("gid", "start", *[f"l_{i}_{j}" for i in p for j in range(i + 1)]).join(mad, "gid").select("gid", "start", *centre, *[(F.col(f"l_{i}_{j}") * F.col(f"b_{i}")).alias(f"l_{i}_{j}") for i in p for j in range(i + 1)])
+    every = _factor(rows.groupBy("gid").agg(*_sums([F.col(f"_x_{n}") for n in NAMES])).withColumn("start", F.lit(2))).drop("logdet")
+    return common.materialize(diagonal.unionByName(bounded).unionByName(every), "estimates")
 
 
 def group_ids(vectors: DataFrame) -> DataFrame:
@@ -136,25 +194,31 @@ def fit(stats: DataFrame) -> DataFrame:
     v = stats.where(~F.col("base_failed") & (F.col("_fence") >= 0)).select(_key("lang").alias("_lang"), _key("source").alias("_source"), *[f"_x_{n}" for n in NAMES])
     v = common.materialize(v, "vectors")
     ids = common.materialize(group_ids(v), "groups")
-    rows = by_group(v, ids, ["_lang", "_source"]).drop("_lang", "_source")
-    # start: coordinate medians and median deviations, all on the grid
-    med = common.materialize(rows.groupBy("gid").agg(*[F.percentile(f"_x_{n}", 0.5).alias(f"a_{i}") for i, n in enumerate(NAMES)]), "medians")
-    off = by_group(rows, med, ["gid"])
-    mad = off.groupBy("gid").agg(*[F.first(f"a_{i}").alias(f"a_{i}") for i in range(len(NAMES))], *[F.percentile(F.abs(F.col(f"_x_{n}") - F.col(f"a_{i}")).cast("long"), 0.5).alias(f"b_{i}") for i, n in enumerate(NAMES)])
-    start = [(F.col(f"a_{i}") / GRID).alias(f"m_{i}") for i in range(len(NAMES))]
-    factor = [(F.sqrt((F.col(f"b_{i}") * 1.4826 / GRID) ** 2 + F.lit(FLOORS[n] ** 2)) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, n in enumerate(NAMES) for j in range(i + 1)]
-    est = common.materialize(mad.select("gid", *start, *factor), "estimates")
-    for step in range(STEPS + 1):
-        d = _distance(by_group(rows, est, ["gid"])).withColumn("bin", _bin(F.col("d2")))
-        last = step == STEPS
-        cut = d.groupBy("gid").agg(F.ceil(F.percentile("bin", H_SHARE)).alias("h"), (F.exp((F.percentile("bin", 0.5) + F.lit(0.5)) / 64) / F.lit(CHI_MEDIAN)).alias("c"))
-        cut = common.materialize(cut, "cuts")
-        d = by_group(d, cut, ["gid"])
-        inner = (F.col("d2") <= F.col("c") * F.lit(CHI_INNER)) if last else (F.col("bin") <= F.col("h"))
-        est = common.materialize(_factor(_moments(d.where(inner))), "estimates")
-    d = _distance(by_group(rows, est, ["gid"])).withColumn("bin", _bin(F.col("d2")))
-    scale = d.groupBy("gid").agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.exp((F.percentile("bin", 0.5) + F.lit(0.5)) / 64) / F.lit(CHI_MEDIAN)).alias("c"))
-    est = est.join(scale.where(F.col("n") >= MIN_GROUP), "gid")
+    few = 3 * ids.count() <= BROADCAST_GROUPS  # three starts each
+    rows = by_group(v, ids, ["_lang", "_source"], few).drop("_lang", "_source")
+    est = _starts(rows, few)
+    for _ in range(FIRST):
+        est = common.materialize(_concentrate(rows, est, few), "estimates")
+    first = F.row_number().over(Window.partitionBy("gid").orderBy("logdet", "start"))
+    est = common.materialize(est.withColumn("_n", first).where("_n = 1").drop("_n").withColumn("done", F.lit(False)), "estimates")
+    for _ in range(MAX_STEPS):
+        going = est.where("not done")
+        if going.isEmpty():
+            break
+        old = going.select("gid", F.struct(*[c for c in est.columns if c not in ("gid", "done")]).alias("_old"))
+        left = going.select("gid")
+        new = _concentrate(rows.join(F.broadcast(left) if few else left, "gid", "left_semi"), going.drop("done"), few)
+        both = new.select("gid", F.struct(*[c for c in new.columns if c != "gid"]).alias("_new")).join(old, "gid")
+        better = F.col("_new.logdet") < F.col("_old.logdet") - F.lit(1e-9)
+        both = both.select("gid", F.when(better, F.col("_new")).otherwise(F.col("_old")).alias("_e"), (~better).alias("done")).select("gid", "_e.*", "done")
+        est = common.materialize(est.where("done").unionByName(both), "estimates")
+    # reweighting: all rows within the inner quantile of the scaled distances
+    b = _binned(rows, est.drop("done"), few)
+    limit = b.groupBy("gid").agg(_bin(_scale(_median()) * F.lit(CHI_INNER)).alias("limit"))
+    inner = b.join(limit, "gid").where("bin <= limit").groupBy("gid", "start").agg(*[F.sum(c).alias(c) for c in ["n", *MOMENTS]])
+    est = common.materialize(_factor(inner).drop("logdet"), "estimates")
+    scale = _binned(rows, est, few).groupBy("gid").agg(F.max("total").alias("n"), F.greatest(F.lit(1.0), _scale(_median())).alias("c"))
+    est = est.drop("start").join(scale.where(F.col("n") >= MIN_GROUP), "gid")
     return common.materialize(ids.join(est, "gid"), "fitted")
 
 
