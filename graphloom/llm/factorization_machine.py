@@ -5,19 +5,23 @@ interactions cost time linear in a text's distinct features. Words are hashed ca
 sqrt(count), scaled to unit length; each structure statistic and each metadata value (size classes, share of
 non-ASCII bytes) falls into one of BINS classes cut at quantiles of the training rows.
 
-The model is fitted on at most ``max_rows`` labelled rows of each class (those whose ids hash lowest), so its
-cost does not grow with the corpus; it is of fixed size and goes to executors as one broadcast variable.
+The model is fitted on at most ``max_rows`` labelled rows of each class (those whose ids hash lowest) and, of these, on so
+many as have MAX_FEATURE_BYTES of word features together, so its cost does not grow with the corpus; it is of fixed size
+and goes to executors as one broadcast variable.
 Labels, lang, source and doc_id are never features. With labels of one class only, or none, scores are that
 class's share (0.5 for none).
 
-Defined cases: null and empty texts are scored like any other; several labels of one id count as their
-rounded mean; null labels and ids do not train; other columns are ignored; repeated rows score alike.
+Defined cases: null and empty texts are scored like any other, very long ones whole; several labels of one id count as
+their rounded mean, an even split as 1; of rows that repeat a labelled id the one with the least digest of its text
+trains; null labels and ids do not train; other columns are ignored, whatever their names; repeated rows score alike;
+an empty table gives an empty table, and without rows to train on all scores are 0.5.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,8 @@ from graphloom.llm import common
 
 #: Word features, classes of each statistic, rank of the interactions.
 WORDS, BINS, RANK = 1 << 16, 8, 8
-#: Labelled rows of either class that are fitted at most.
-MAX_ROWS = 4000
+#: Labelled rows of either class that are fitted at most, and bytes of their word features (eight to a distinct word of a text).
+MAX_ROWS, MAX_FEATURE_BYTES = 4000, 256_000_000
 #: Rows of FOLD_OF whose crc32 is 0 modulo FOLDS never train.
 FOLDS = 5
 #: A document counts as good from this score on.
@@ -135,6 +139,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def gradient(model: Model, idx: np.ndarray, val: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss of texts with features (doc, idx, val), labels y of -1 and 1, and weights: the
+    derivative by the bias, the features used, and the derivatives by their weights and factors (with DECAY).
+    """
+    n = len(y)
+    v = model.factors[idx]
+    vx = v * val[:, None]
+    sums = np.stack([np.bincount(doc, weights=vx[:, f], minlength=n) for f in range(RANK)], axis=1)
+    z = model.bias + np.bincount(doc, weights=model.weights[idx] * val, minlength=n) + 0.5 * ((sums**2).sum(1) - np.bincount(doc, weights=(vx * vx).sum(1), minlength=n))
+    d = -y / (1 + np.exp(np.clip(y * z, -30, 30))) * weight / n
+    used, back = np.unique(idx, return_inverse=True)
+    dw = np.bincount(back, weights=d[doc] * val) + DECAY * model.weights[used]
+    each = (d[doc] * val)[:, None] * (sums[doc] - vx)
+    dv = np.stack([np.bincount(back, weights=each[:, f]) for f in range(RANK)], axis=1) + DECAY * model.factors[used]
+    return float(d.sum()), used, dw, dv
+
+
 def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, stats: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
     """Adagrad on the logistic loss over features(); both classes weigh alike."""
     model = Model()
@@ -158,21 +179,13 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, stats: np.ndarr
             idx = np.concatenate([feature[at], own[some].ravel()])
             val = np.concatenate([value[at], np.ones(own[some].size, np.float32)])
             doc = np.concatenate([np.repeat(np.arange(len(some)), lens), np.repeat(np.arange(len(some)), own.shape[1])])
-            v = model.factors[idx]
-            vx = v * val[:, None]
-            sums = np.stack([np.bincount(doc, weights=vx[:, f], minlength=len(some)) for f in range(RANK)], axis=1)
-            z = model.bias + np.bincount(doc, weights=model.weights[idx] * val, minlength=len(some)) + 0.5 * ((sums**2).sum(1) - np.bincount(doc, weights=(vx * vx).sum(1), minlength=len(some)))
-            d = -y[some] / (1 + np.exp(np.clip(y[some] * z, -30, 30))) * weight[some] / len(some)
-            used, back = np.unique(idx, return_inverse=True)
-            dw = np.bincount(back, weights=d[doc] * val) + DECAY * model.weights[used]
-            each = (d[doc] * val)[:, None] * (sums[doc] - vx)
-            dv = np.stack([np.bincount(back, weights=each[:, f]) for f in range(RANK)], axis=1) + DECAY * model.factors[used]
+            db, used, dw, dv = gradient(model, idx, val, doc, y[some], weight[some])
             g_w[used] += (dw * dw).astype(np.float32)
             g_v[used] += (dv * dv).astype(np.float32)
-            g_b += float(d.sum() ** 2)
+            g_b += db**2
             model.weights[used] -= (RATE * dw / np.sqrt(g_w[used])).astype(np.float32)
             model.factors[used] -= (RATE * dv / np.sqrt(g_v[used])).astype(np.float32)
-            model.bias -= RATE * float(d.sum()) / g_b**0.5
+            model.bias -= RATE * db / g_b**0.5
     return model
 
 
@@ -186,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     if not picked:
         return Model()
     sample = spark.createDataFrame([(r.doc_id, r.quality) for r in picked], "doc_id long, quality int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     common.ship(spark)
 
     @common.tidy
@@ -200,7 +213,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
                 own = [[x[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)] for x in (feature, value)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own[0], pa.binary()), pa.array(own[1], pa.binary()), pa.array([x.tobytes() for x in stats], pa.binary())], names=["doc_id", "quality", "feature", "value", "stats"])
 
-    got = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, feature binary, value binary, stats binary").toArrow().sort_by("doc_id")
+    made = common.materialize(texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, feature binary, value binary, stats binary"), "features")
+    size, room = {r.doc_id: r.n for r in made.select("doc_id", (2 * F.octet_length("feature")).alias("n")).collect()}, MAX_FEATURE_BYTES
+    ids = []
+    for r in (x for pair in zip_longest(*[[r for r in picked if r.quality == q] for q in (0, 1)]) for x in pair if x is not None):  # both classes in turn
+        room -= size.get(r.doc_id, 0)
+        if room >= 0 and r.doc_id in size:
+            ids.append((r.doc_id,))
+    if not ids:
+        return Model()
+    got = made.join(F.broadcast(spark.createDataFrame(ids, "doc_id long")), "doc_id", "left_semi").toArrow().sort_by("doc_id")
     each = [np.frombuffer(x, np.int32) for x in got["feature"].to_pylist()]
     value = np.frombuffer(b"".join(got["value"].to_pylist()), np.float32)
     stats = np.frombuffer(b"".join(got["stats"].to_pylist()), np.float32).reshape(-1, len(STATS))

@@ -47,3 +47,53 @@ def test_defined_cases(spark):
     assert f.score(docs, f.train(docs, both)).count() == 4
     assert f.score(docs.limit(0), f.train(docs, both)).count() == 0
     assert f.keep_good(docs, f.Model()).columns == docs.columns
+
+
+def test_gradient_is_the_loss_derivative():
+    """Against differences of the loss, computed pair by pair."""
+    rng = np.random.default_rng(1)
+    size, n = 30, 5
+    model = f.Model(0.3, rng.standard_normal(size), rng.standard_normal((size, f.RANK)) * 0.5)
+    doc = np.repeat(np.arange(n), 6)
+    idx = np.concatenate([rng.choice(size, 6, replace=False) for _ in range(n)])
+    val, y, weight = rng.random(n * 6), rng.choice([-1.0, 1.0], n), rng.random(n) + 0.5
+
+    def loss():
+        total = 0.0
+        for i in range(n):
+            own = np.flatnonzero(doc == i)
+            z = model.bias + sum(model.weights[idx[a]] * val[a] for a in own)
+            z += sum(model.factors[idx[a]] @ model.factors[idx[b]] * val[a] * val[b] for a in own for b in own if a < b)
+            total += weight[i] * np.log1p(np.exp(-y[i] * z)) / n
+        used = np.unique(idx)
+        return total + f.DECAY / 2 * ((model.weights[used] ** 2).sum() + (model.factors[used] ** 2).sum())
+
+    db, used, dw, dv = f.gradient(model, idx, val, doc, y, weight)
+
+    def slope(array, at, step=1e-6):
+        array[at] += step
+        up = loss()
+        array[at] -= 2 * step
+        down = loss()
+        array[at] += step
+        return (up - down) / (2 * step)
+
+    assert np.allclose([slope(model.weights, u) for u in used], dw, atol=1e-6)
+    assert np.allclose([[slope(model.factors, (u, k)) for k in range(f.RANK)] for u in used], dv, atol=1e-6)
+    bias, model.bias = model.bias, model.bias + 1e-6
+    up = loss()
+    model.bias = bias - 1e-6
+    assert abs((up - loss()) / 2e-6 - db) < 1e-6
+
+
+def test_training_is_bounded_and_the_same_in_any_order(spark, monkeypatch):
+    text = lambda i, w: " ".join(f"{w}{(i * 7 + j) % 50}" for j in range(60))
+    rows = [(i, text(i, "good" if i % 2 else "bad"), "x") for i in range(300)] + [(i, text(i, "other"), "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    one, two = f.train(docs, labels), f.train(docs.repartition(5), labels)
+    assert one.bias == two.bias and (one.weights == two.weights).all() and (one.factors == two.factors).all()
+    monkeypatch.setattr(f, "MAX_FEATURE_BYTES", 8 * 50 * 100)
+    assert len(f.train(docs, labels).weights)
+    monkeypatch.setattr(f, "MAX_FEATURE_BYTES", 1)
+    assert not len(f.train(docs, labels).weights)
