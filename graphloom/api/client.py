@@ -86,7 +86,9 @@ class Client:
 
     @staticmethod
     def _key(symbol: dict) -> str:
-        return f"{symbol['path']}|{symbol['qualified_name']}|{symbol['range']['start_byte']}"
+        """The key that graph.key() gives a symbol."""
+        path, name = (symbol[c].replace("\\", "\\\\").replace("|", "\\|") for c in ("path", "qualified_name"))
+        return f"{path}|{name}|{symbol['range']['start_byte']}"
 
     def _symbols(self, tables: dict, refs: list[dict | None]) -> dict[tuple, dict]:
         """Full records of a result's symbol references."""
@@ -163,7 +165,7 @@ class Client:
                 node = {"kind": "file", "file": path, "symbol": None}
                 seed = self.spark.createDataFrame([(path, 1)], "node string, pos int")
                 found.append(traverse.impact(traverse.include_links(edges, "resolved"), traverse.include_links(edges, "ambiguous"), seed))
-                own = graph.file_definitions(t["symbols"], path).select(F.concat_ws("|", "path", "qualified_name", F.col("range.start_byte").cast("string")).alias("node"), F.row_number().over(Window.orderBy("qualified_name", "path", "range.start_byte")).alias("pos"))
+                own = graph.file_definitions(t["symbols"], path).select(graph.key(F.struct("path", "qualified_name", F.col("range.start_byte").alias("start_byte"))).alias("node"), F.row_number().over(Window.orderBy("qualified_name", "path", "range.start_byte")).alias("pos"))
                 found.append(traverse.impact(*calls, own))
             else:
                 try:

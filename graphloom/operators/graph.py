@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars as s
 
 
-def key(symbol: str) -> Column:
-    """One string for a symbol reference struct."""
-    return F.concat_ws("|", F.col(f"{symbol}.path"), F.col(f"{symbol}.qualified_name"), F.col(f"{symbol}.start_byte").cast("string"))
+def key(symbol: str | Column) -> Column:
+    """One string for a symbol reference struct, different for different ones: bars and backslashes in its parts are escaped."""
+    x = F.col(symbol) if isinstance(symbol, str) else symbol
+    escaped = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.concat_ws("|", escaped(x.getField("path")), escaped(x.getField("qualified_name")), x.getField("start_byte").cast("string"))
 
 
 def select_symbol(symbols: DataFrame, name: str, signature: str | None = None, file: str | None = None) -> DataFrame:
@@ -34,7 +36,7 @@ def callees(edges: DataFrame, symbol_key: str) -> DataFrame:
 
 
 def _is(x: Column, symbol_key: str) -> Column:
-    return F.concat_ws("|", x.path, x.qualified_name, x.start_byte.cast("string")) == symbol_key
+    return key(x) == symbol_key
 
 
 def callers(edges: DataFrame, symbol_key: str) -> DataFrame:

@@ -39,6 +39,11 @@ def _grouped(defs: DataFrame, name: str) -> DataFrame:
     return defs.groupBy("family", F.col(name).alias("_lookup")).agg(F.sort_array(F.collect_list(found)).alias("found"))
 
 
+def _apart(name: Column, *row: str) -> Column:
+    """A join key that is never null: rows that look nothing up get one that no name has, and not all the same."""
+    return F.coalesce(name, F.concat(F.lit("\0"), F.xxhash64(*row).cast("string")))
+
+
 def defines_edges(symbols: DataFrame) -> DataFrame:
     """Every definition is a resolved edge from its file."""
     return definitions(symbols).select(
@@ -65,7 +70,7 @@ def call_matches(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> Data
     short = _grouped(defs, "name").withColumnRenamed("_lookup", "callee_name").withColumnRenamed("found", "by_name")
     # calls that a tier settled, and indirect ones, look nothing up
     open_name = F.when(F.col("hit").isNull() & (F.col("form") != "indirect"), F.col("callee_name"))
-    c = c.withColumn("_name", open_name).join(short.withColumnRenamed("callee_name", "_name"), ["family", "_name"], "left")
+    c = c.withColumn("_name", _apart(open_name, "_key")).join(short.withColumnRenamed("callee_name", "_name"), ["family", "_name"], "left")
     tier, member = F.col("hit.tier"), F.col("form") == "member"
     method = (
         F.when((F.col("form") == "qualified") & (tier == 0), "qualified-name-match").when((F.col("form") == "qualified") & (tier > 0), "scoped-qualified-match").when(tier.isNotNull(), "lexical-scope-match")
@@ -107,11 +112,11 @@ def include_edges(includes: DataFrame, files: DataFrame) -> DataFrame:
     inc = includes.join(files.select("path", "language"), "path").dropDuplicates(["path", "target", "range"])
     python = F.col("language") == "python"
     quoted = ~python & ~F.col("is_system")
-    inc = inc.select("*", F.when(quoted, s.under(s.folder(F.col("path")), F.col("target"))).alias("_near"), F.when(quoted, s.normalized(F.col("target"))).alias("_root"), F.when(python, s.imported_module(F.col("path"), F.col("target"))).alias("_module"))
+    inc = inc.select("*", _apart(F.when(quoted, s.under(s.folder(F.col("path")), F.col("target"))), "path", "range").alias("_near"), _apart(F.when(quoted, s.normalized(F.col("target"))), "path", "range").alias("_root"), _apart(F.when(python, s.imported_module(F.col("path"), F.col("target"))), "path", "range").alias("_module"))
     paths = files.select("path")
     inc = inc.join(paths.select(F.col("path").alias("_near"), F.lit(True).alias("_by_near")), "_near", "left")
     inc = inc.join(paths.select(F.col("path").alias("_root"), F.lit(True).alias("_by_root")), "_root", "left")
-    left = F.when(F.col("_by_near").isNull() & F.col("_by_root").isNull(), F.col("_root"))
+    left = _apart(F.when(F.col("_by_near").isNull() & F.col("_by_root").isNull(), F.col("_root")), "path", "range")
     inc = inc.withColumn("suffix", left).join(suffix_index(files), "suffix", "left")
     modules = files.where(python).groupBy(s.python_module(F.col("path")).alias("_module")).agg(F.sort_array(F.collect_list("path")).alias("_files"))
     inc = inc.join(modules, "_module", "left")

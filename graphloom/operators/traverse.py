@@ -2,17 +2,20 @@
 
 A level is a join of the frontier with the edges, an anti-join with what was visited, and a minimum per new
 node in queue order (place of the parent in its level, then edge order); so the dependency reported for a
-node is the one that a queue would have found first. Places number the frontier alone. Every level is
-checkpointed, so plans stay short and a lost executor costs no more than a level.
+node is the one that a queue would have found first. Places number the frontier alone.
+
+Edges are partitioned by the end that frontiers are joined to, once. A frontier that is counted to be small is
+broadcast, so that its level moves no edges; a larger one is shuffled to the edges' partitions and numbered by ranges.
+Every level is checkpointed, so plans stay short and a lost executor costs no more than a level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as s
-from graphloom.operators.checkpoints import cut
+from graphloom.operators.checkpoints import cut, numbered, small
 from graphloom.operators.graph import key
 
 
@@ -45,21 +48,25 @@ def impact(resolved: DataFrame, ambiguous: DataFrame, seeds: DataFrame) -> tuple
     Both have ``node, dependency, depth`` and the edge that proves them. A node confirmed is never only possible,
     and possible nodes are not searched from.
     """
-    resolved = cut(resolved)
-    visited = cut(seeds.select("node", "pos", F.lit(0).alias("depth")))
+    resolved = cut(resolved.repartition("target"))
+    visited = cut(seeds.select("node", F.col("pos").cast("long").alias("pos"), F.lit(0).alias("depth")))
+    n = reached = visited.count()
     levels, depth = [], 0
     frontier = visited
     while True:
         depth += 1
-        into = resolved.join(frontier.select(F.col("node").alias("target"), F.col("pos").alias("parent")), "target").join(visited.select(F.col("node").alias("source")), "source", "left_anti")
+        into = resolved.join(small(frontier.select(F.col("node").alias("target"), F.col("pos").alias("parent")), n), "target").join(small(visited.select(F.col("node").alias("source")), reached), "source", "left_anti")
         best = into.withColumn("_rank", F.struct("parent", "edge")).groupBy("source").agg(F.min_by(F.struct("target", "parent", "edge", *PROOF), "_rank").alias("b"))
-        new = best.select(F.col("source").alias("node"), F.col("b.target").alias("dependency"), "b.*").withColumn("depth", F.lit(depth))
-        new = cut(new.withColumn("pos", F.row_number().over(Window.orderBy("parent", "edge", "node"))))
-        if new.isEmpty():
+        new = cut(best.select(F.col("source").alias("node"), F.col("b.target").alias("dependency"), "b.*").withColumn("depth", F.lit(depth)))
+        n = new.count()
+        new = numbered(new, ["parent", "edge", "node"], n)
+        if not n:
             break
         levels.append(new)
-        frontier = new.select("node", "pos", "depth")
-        visited = cut(visited.unionByName(frontier))
+        frontier = cut(new.select("node", "pos", "depth"))
+        visited, reached = visited.unionByName(frontier), reached + n
+        if depth % 8 == 0:
+            visited = cut(visited)
     shape = new  # empty, with the columns
     for level in levels:
         shape = shape.unionByName(level)
@@ -86,21 +93,24 @@ def _adjacency() -> Column:
 def _search(links: DataFrame, source: str, target: str) -> list[dict] | None:
     """Steps of the shortest path, None if there is none."""
     spark = links.sparkSession
-    links = cut(links.withColumn("_order", _adjacency()))
-    visited = frontier = spark.createDataFrame([(source, 1)], "node string, pos int")
+    links = cut(links.withColumn("_order", _adjacency()).repartition("source"))
+    visited = frontier = spark.createDataFrame([(source, 1)], "node string, pos long")
+    n = reached = 1
     parents: list[DataFrame] = []
     while True:
-        out = links.join(frontier.select(F.col("node").alias("source"), "pos"), "source").join(visited.select(F.col("node").alias("target")), "target", "left_anti")
+        out = links.join(small(frontier.select(F.col("node").alias("source"), "pos"), n), "source").join(small(visited.select(F.col("node").alias("target")), reached), "target", "left_anti")
         best = out.withColumn("_rank", F.struct("pos", "_order")).groupBy("target").agg(F.min_by(F.struct("source", "_rank", "source_symbol", "target_symbol", "resolution", "confidence", "provenance", "evidence"), "_rank").alias("b"))
-        new = best.select(F.col("target").alias("node"), "b.*")
-        new = cut(new.withColumn("pos", F.row_number().over(Window.orderBy("_rank", "node"))))
-        if new.isEmpty():
+        new = cut(best.select(F.col("target").alias("node"), "b.*"))
+        n, found = new.agg(F.count("*"), F.count_if(F.col("node") == target)).first()
+        if not n:
             return None
         parents.append(new)
-        if not new.where(F.col("node") == target).isEmpty():
+        if found:
             break
-        frontier = new.select("node", "pos")
-        visited = cut(visited.unionByName(frontier))
+        frontier = cut(numbered(new, ["_rank", "node"], n).select("node", "pos"))
+        visited, reached = visited.unionByName(frontier), reached + n
+        if len(parents) % 8 == 0:
+            visited = cut(visited)
     steps, at = [], target
     for level in reversed(parents):  # one row of each level
         row = level.where(F.col("node") == at).select("node", "source", "source_symbol", "target_symbol", "resolution", "confidence", "provenance", "evidence").first().asDict(True)

@@ -8,7 +8,7 @@ Columns and bytes count UTF-8 bytes.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 from graphloom.functions.scalars import normalize_space, scopes_joined
@@ -38,7 +38,11 @@ class Scanner:
     def __init__(self, text: str):
         self.text = text
         self.lines = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.ascii = text.isascii()
+        # characters of more than one byte, and the bytes that they and those before them have above one each
+        self.wide = [] if text.isascii() else [m.start() for m in re.finditer(r"[^\x00-\x7f]", text)]
+        self.extra = [0]
+        for at in self.wide:
+            self.extra.append(self.extra[-1] + len(text[at].encode("utf-8", "surrogatepass")) - 1)
         self.tokens: list[Token] = []
         self.out = {"symbols": [], "includes": [], "calls": [], "diagnostics": []}
         for m in TOKEN.finditer(text):
@@ -54,7 +58,7 @@ class Scanner:
     # --- places ---
 
     def byte(self, at: int) -> int:
-        return at if self.ascii else len(self.text[:at].encode())
+        return at + self.extra[bisect_left(self.wide, at)]
 
     def place(self, a: int, b: int) -> dict:
         out = {}
@@ -73,7 +77,9 @@ class Scanner:
                 self.out["includes"].append({"target": target, "is_system": system, "range": self.place(start, m.end())})
 
     def pairs(self) -> dict[int, int]:
-        """Index of each bracket's partner; unpaired ones are diagnosed."""
+        """Index of each bracket's partner; every unpaired one is diagnosed: one that does not close as missing its
+        partner, where it opens, and a closing one that nothing opens as an error.
+        """
         found, stack, bad = {}, [], []
         for i, t in enumerate(self.tokens):
             if t.kind != "op":
@@ -88,9 +94,12 @@ class Scanner:
                     stack.pop()
                 else:
                     bad.append(i)
-        if bad or stack:
-            t = self.tokens[min([*bad, *stack])]
-            self.out["diagnostics"].append({"severity": "error", "code": "syntax-error", "message": "unrecognized syntax", "range": self.place(t.start, t.end)})
+        for i in sorted([*bad, *stack]):
+            t = self.tokens[i]
+            if t.text in OPEN:
+                self.out["diagnostics"].append({"severity": "error", "code": "missing-syntax", "message": f"parser expected {OPEN[t.text]}", "range": self.place(t.end, t.end)})
+            else:
+                self.out["diagnostics"].append({"severity": "error", "code": "syntax-error", "message": "unrecognized syntax", "range": self.place(t.start, t.end)})
         return found
 
     def op(self, i: int, *texts: str) -> bool:

@@ -49,11 +49,22 @@ class _Walker:
         r = self.place(node)
         return self.raw[r["start_byte"] - self.first_byte : r["end_byte"] - self.first_byte].decode()
 
-    def visit(self, node: ast.AST) -> None:
-        if isinstance(node, ast.ClassDef):
-            return self.define(node, "class")
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            return self.define(node, "method" if self.in_class and self.in_class[-1] else "function")
+    def visit(self, root: ast.AST) -> None:
+        """All nodes, each before its children; a stack instead of recursion, as expressions can be very deep."""
+        self.todo: list = [root]
+        while self.todo:
+            node = self.todo.pop()
+            if not isinstance(node, ast.AST):
+                node()  # what a definition does at its begin and end
+            elif isinstance(node, ast.ClassDef):
+                self.define(node, "class")
+            elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                self.define(node, "method" if self.in_class and self.in_class[-1] else "function")
+            else:
+                self.take(node)
+                self.todo += reversed(list(ast.iter_child_nodes(node)))
+
+    def take(self, node: ast.AST) -> None:
         if isinstance(node, ast.Import):
             for a in node.names:
                 self.out["includes"].append({"target": a.name, "is_system": False, "range": self.place(node)})
@@ -64,13 +75,8 @@ class _Walker:
                 self.out["includes"] += [{"target": t, "is_system": False, "range": self.place(node)} for t in targets]
         elif isinstance(node, ast.Call) and self.caller:
             self.call(node)
-        for child in ast.iter_child_nodes(node):
-            self.visit(child)
-        return None
 
     def define(self, node, kind: str) -> None:
-        for d in node.decorator_list:  # decorators stand outside
-            self.visit(d)
         name, body = node.name, self.text(node)
         where = self.place(node)
         head = re.match(r"(?:async\s+)?(?:def|class)\s+" + re.escape(name) + r"\s*", body)
@@ -89,16 +95,20 @@ class _Walker:
         qualified = scopes_joined(self.scopes, name)
         self.out["symbols"].append({"kind": kind, "role": "definition", "name": name, "qualified_name": qualified, "signature": signature, "range": where})
         before = self.caller
-        if kind != "class":
-            self.caller = (qualified, where["start_byte"])
-        self.scopes.append(name)
-        self.in_class.append(kind == "class")
-        for child in ast.iter_child_nodes(node):
-            if child not in node.decorator_list:
-                self.visit(child)
-        self.scopes.pop()
-        self.in_class.pop()
-        self.caller = before
+
+        def enter() -> None:
+            if kind != "class":
+                self.caller = (qualified, where["start_byte"])
+            self.scopes.append(name)
+            self.in_class.append(kind == "class")
+
+        def leave() -> None:
+            self.scopes.pop()
+            self.in_class.pop()
+            self.caller = before
+
+        inside = [child for child in ast.iter_child_nodes(node) if child not in node.decorator_list]
+        self.todo += reversed([*node.decorator_list, enter, *inside, leave])  # decorators stand outside
 
     def call(self, node: ast.Call) -> None:
         text, form = normalize_space(self.text(node.func)), "indirect"

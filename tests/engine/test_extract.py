@@ -133,3 +133,26 @@ def test_scalars():
     data = [b"", b"abc", b"x" * 9000, b"abc", bytes(range(256)) * 20]
     assert fnv_many(data) == [fnv1a(x) for x in data]
     assert normalize_space("( self ,  value : int )\n ->  x [ 1 ]") == "(self, value :int) -> x [1]"
+
+
+def test_every_unpaired_bracket_is_diagnosed():
+    a = analyze("a.cpp", "cpp", b"int broken( {\n  return 0;\n}\nint more() { ) }\nvoid open() {\n")
+    assert [(d["code"], d["message"], d["range"]["start_line"]) for d in a["diagnostics"]] == [("missing-syntax", "parser expected )", 1), ("syntax-error", "unrecognized syntax", 4), ("missing-syntax", "parser expected }", 5)]
+
+
+def test_wide_characters_cost_linear_time():
+    import time
+
+    text = "".join(f"// ééé 漢字 {i}\nint f{i}() {{ return g{i}(); }}\n" for i in range(6000))
+    began = time.perf_counter()
+    a = analyze("a.cpp", "cpp", text.encode())
+    assert time.perf_counter() - began < 20 and len(a["symbols"]) == len(a["calls"]) == 6000
+    for s in a["symbols"][::500]:
+        r = s["range"]
+        assert text.encode()[r["start_byte"] : r["end_byte"]].decode().startswith(f"int {s['name']}()")
+
+
+def test_deep_expressions_are_read():
+    deep = "def f():\n    return " + " + ".join(["g()"] * 3000) + "\n"
+    a = analyze("m.py", "python", deep.encode())
+    assert a["status"] == "parsed" and a["symbols"][0]["name"] == "f" and len(a["calls"]) == 3000

@@ -37,7 +37,7 @@ def test_against_duckdb(spark, name):
 
 @need
 def test_entry(spark):
-    assert set(queries.SQL) <= set(entry.queries()) and entry.entry(spark).columns == ["node", "depth"]
+    assert set(queries.SQL) <= set(entry.queries()) and entry.entry(spark).columns == ["node", "dependency", "depth", "evidence", "confidence", "provenance"]
 
 
 def test_string_functions(spark):
@@ -83,3 +83,26 @@ def test_impact_equals_a_queue(spark, seed):
     want = plain_impact(edges, maybe, ["n00", "n03"])
     assert {(r.node, r.dependency, r.depth) for r in confirmed.collect()} == want[0]
     assert {(r.node, r.depth) for r in possible.collect()} == want[1]
+
+
+def test_keys_tell_symbols_apart(spark):
+    from graphloom.operators import graph
+
+    df = spark.createDataFrame([(("a|b", "c", 1),), (("a", "b|c", 1),), (("a\\", "b|c", 1),), (("a", "operator|", 1),), (("a|operator", "", 1),)], "x struct<path:string,qualified_name:string,start_byte:int>")
+    assert df.select(graph.key("x")).distinct().count() == 5
+
+
+def test_numbering_by_ranges_equals_one_window(spark, monkeypatch):
+    from graphloom.operators import checkpoints
+
+    df = spark.range(200).select((F.col("id") * 37 % 200).alias("k"))
+    one = {(r.k, r.pos) for r in checkpoints.numbered(df, ["k"], 200).collect()}
+    monkeypatch.setattr(checkpoints, "FEW", 10)
+    assert {(r.k, r.pos) for r in checkpoints.numbered(df, ["k"], 200).collect()} == one == {(i, i + 1) for i in range(200)}
+
+
+def test_empty_tables(spark, tmp_path):
+    for t in ("nation", "customer", "orders", "supplier"):
+        spark.read.parquet(f"{D}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
+    for name in ("callees", "callers", "file_definitions", "file_outgoing", "path_confirmed", "path_possible", "path_confirmed_steps", "path_possible_steps", "impact_confirmed"):
+        assert queries.QUERIES[name](spark, f"file://{tmp_path}").count() == 0
