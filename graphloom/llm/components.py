@@ -1,4 +1,12 @@
-"""Connected components of large graphs: alternating large-star and small-star steps on edge tables."""
+"""Connected components of large graphs: alternating large-star and small-star steps on edge tables.
+
+A round costs shuffles of the edges only, never a path's or a component's nodes in one task; the number of rounds grows
+with the logarithm of the nodes. Every round is written to the shared folder.
+
+Defined cases: an empty table has no components; links from a node to itself, repeated ones and the two directions of
+one link change nothing; nodes without links do not appear; links with a null end are left out; ids may be of any
+type that has an order, and the least id of a component is its root.
+"""
 
 from __future__ import annotations
 
