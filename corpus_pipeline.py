@@ -2,6 +2,10 @@
 
 Every stage works on all rows that the one before it kept; all but the last return the columns of documents.
 A model or estimate is fitted on the rows that the stage gets.
+
+Defined cases, for all stages: an empty table gives an empty table; a null text is an empty one; very long texts are
+read whole; further columns, whatever their names, are carried along as they are; ids need be neither present nor
+unique, as rows are told apart by a digest of all their columns. Each stage's own cases stand at its function.
 """
 
 from __future__ import annotations
@@ -13,12 +17,20 @@ from graphloom.llm import anchor_simhash, bitmap_bpe, common, factorization_mach
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that the factorisation machine rejects go."""
+    """Operator 4: documents that the factorisation machine rejects go.
+
+    Repeated rows share one verdict; a score of exactly the threshold stays; without labels to learn from all scores
+    are 0.5, so all rows stay. An empty text is scored by its statistics alone.
+    """
     return factorization_machine.keep_good(docs, factorization_machine.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: documents that fail the base rules or are outliers of their language and source go."""
+    """Operator 1: documents that fail the base rules or are outliers of their language and source go.
+
+    Repeated rows count each and share one verdict, as do rows of equal distance; texts of fewer than 20 words, empty
+    ones among them, go; null languages and sources are groups of their own.
+    """
     return robust_outliers.keep_usual(docs)
 
 
@@ -48,7 +60,9 @@ def rows_of(keyed: DataFrame, heads: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: of each class of near copies the row with the least id stays, rows without ids each by its digest.
 
-    Only keys and ids move until the rows that stay are known; the texts are joined to them by key.
+    Only keys and ids move until the rows that stay are known; the texts are joined to them by key. Of repeated rows one
+    stays; of equal ids with different texts each is a row of its own; rows without ids come after all others, in
+    the order of their digests.
     """
     keyed = docs.withColumn("_key", row_key(docs))
     return rows_of(keyed, fingerprint_heads(keyed))
@@ -56,7 +70,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The stage: of the rows that operator 5 leaves, those also go that have a near copy by five-word shingles
-    (similarity 0.8 or more); of each such class the row with the least id stays.
+    (similarity 0.8 or more); of each such class the row with the least id stays, rows without ids last.
+
+    Texts without words are near copies of each other alone (operator 5 gives all of them one fingerprint).
     """
     keyed = docs.withColumn("_key", row_key(docs))
     heads = fingerprint_heads(keyed)
@@ -67,12 +83,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: the documents, as often and as far as the schedule takes them."""
+    """Operator 10: the documents, as often and as far as the schedule takes them.
+
+    A document appears once for every epoch that takes some of it, at most three times; the last one of a source may be
+    cut, and is then its first words joined by blanks; documents without words are never taken; rows that differ in
+    other columns only are taken in the order of their digests; null sources form one source.
+    """
     return source_mix.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of the mix."""
+    """Operator 9: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of the mix.
+
+    Repeated rows come out each; an empty text has no ids and the digests of the empty string.
+    """
     return bitmap_bpe.encode_documents(docs, *bitmap_bpe.production_ranks())
 
 
