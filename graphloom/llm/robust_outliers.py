@@ -90,41 +90,38 @@ def _key(c: str) -> Column:
 
 
 def _factor(moments: DataFrame, grid: int = GRID, floors: list[float] | None = None) -> DataFrame:
-    """Means, the Cholesky factor of covariance plus floors, and its logarithmic determinant, from sums ``n, s_*, q_*_*``."""
+    """Means ``m_*``, the inverse ``k_*_*`` of the Cholesky factor of covariance plus floors, and the logarithmic determinant
+    of that sum, from sums ``n, s_*, q_*_*``. Give it a table without a plan behind it: every column is a step of the plan.
+    """
     p, floors = len(NAMES), floors or list(FLOORS.values())
+    mean = [F.col(f"m_{i}") for i in range(p)]
     g = moments.where("n > 0").select("gid", "start", *[(F.col(f"s_{i}") / F.col("n") / grid).alias(f"m_{i}") for i in range(p)], "n", *[f"q_{i}_{j}" for i in range(p) for j in range(i + 1)])
-    for i in range(p):
-        for j in range(i + 1):
-            c = F.col(f"q_{i}_{j}") / F.col("n") / (grid * grid) - F.col(f"m_{i}") * F.col(f"m_{j}")
+    low = lambda i, j: F.col(f"l_{i}_{j}")
+    for j in range(p):  # column by column
+        rest = {}
+        for i in range(j, p):
+            c = F.col(f"q_{i}_{j}") / F.col("n") / (grid * grid) - mean[i] * mean[j]
             for k in range(j):
-                c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            if i == j:
-                low = floors[i] ** 2
-                c = F.sqrt(F.greatest(c + F.lit(low), F.lit(low)))
-            else:
-                c = c / F.col(f"l_{j}_{j}")
-            g = g.withColumn(f"l_{i}_{j}", c)
-    return g.select("gid", "start", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)], _logdet())
-
-
-def _logdet() -> Column:
-    total = F.lit(0.0)
-    for i in range(len(NAMES)):
-        total = total + 2 * F.log(F.col(f"l_{i}_{i}"))
-    return total.alias("logdet")
+                c = c - low(i, k) * low(j, k)
+            rest[i] = c
+        least = F.lit(floors[j] ** 2)
+        g = g.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(rest.pop(j) + least, least)))
+        if rest:
+            g = g.withColumns({f"l_{i}_{j}": c / low(j, j) for i, c in rest.items()})
+    logdet = sum((2 * F.log(low(i, i)) for i in range(1, p)), 2 * F.log(low(0, 0)))
+    for i in range(p):  # row by row
+        own = {f"k_{i}_{i}": 1 / low(i, i)}
+        for j in range(i):
+            own[f"k_{i}_{j}"] = -sum((low(i, k) * F.col(f"k_{k}_{j}") for k in range(j + 1, i)), low(i, j) * F.col(f"k_{j}_{j}")) / low(i, i)
+        g = g.withColumns(own)
+    return g.select("gid", "start", *mean, *INVERSE, logdet.alias("logdet"))
 
 
 def _distance(df: DataFrame) -> DataFrame:
     """Adds ``d2``: the squared length of L^-1 (x - m)."""
-    for i, name in enumerate(NAMES):
-        y = F.col(f"_x_{name}") / GRID - F.col(f"m_{i}")
-        for j in range(i):
-            y = y - F.col(f"l_{i}_{j}") * F.col(f"y_{j}")
-        df = df.withColumn(f"y_{i}", y / F.col(f"l_{i}_{i}"))
-    total = F.lit(0.0)
-    for i in range(len(NAMES)):
-        total = total + F.col(f"y_{i}") * F.col(f"y_{i}")
-    return df.withColumn("d2", total).drop(*[f"y_{i}" for i in range(len(NAMES))])
+    away = [F.col(f"_x_{name}") / GRID - F.col(f"m_{i}") for i, name in enumerate(NAMES)]
+    parts = [F.pow(sum((F.col(f"k_{i}_{j}") * away[j] for j in range(1, i + 1)), F.col(f"k_{i}_0") * away[0]), F.lit(2.0)) for i in range(len(NAMES))]
+    return df.withColumn("d2", sum(parts[1:], parts[0]))
 
 
 def _bin(d2: Column) -> Column:
@@ -135,6 +132,7 @@ def _sums(x: list[Column]) -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(a).alias(f"s_{i}") for i, a in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in range(len(x)) for j in range(i + 1)]]
 
 
+INVERSE = [f"k_{i}_{j}" for i in range(len(NAMES)) for j in range(i + 1)]
 MOMENTS = [*[f"s_{i}" for i in range(len(NAMES))], *[f"q_{i}_{j}" for i in range(len(NAMES)) for j in range(i + 1)]]
 
 
@@ -153,7 +151,7 @@ def _concentrate(rows: DataFrame, est: DataFrame, few: bool) -> DataFrame:
     edge = ~whole & (F.col("before") < F.col("h"))  # one bin at most
     share = (F.col("h") - F.col("before")) / F.col("n")
     taken = [(F.coalesce(F.sum(F.when(whole, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(edge, F.col(c) * share)), F.lit(0.0))).alias(c) for c in MOMENTS]
-    return _factor(b.groupBy("gid", "start").agg(F.max("h").alias("n"), *taken))
+    return _factor(common.materialize(b.groupBy("gid", "start").agg(F.max("h").alias("n"), *taken), "moments"))
 
 
 def _scale(median: Column) -> Column:
@@ -173,11 +171,13 @@ def _starts(rows: DataFrame, few: bool) -> DataFrame:
     # medians and spreads in units of the statistics
     mad = common.materialize(mad.select("gid", *[(F.col(f"a_{i}") / GRID).alias(f"a_{i}") for i in p], *[F.sqrt((F.col(f"b_{i}") * 1.4826 / GRID) ** 2 + F.lit(FLOORS[n] ** 2)).alias(f"b_{i}") for i, n in enumerate(NAMES)]), "spreads")
     centre = [F.col(f"a_{i}").alias(f"m_{i}") for i in p]
-    diagonal = mad.select("gid", F.lit(0).alias("start"), *centre, *[(F.col(f"b_{i}") if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in p for j in range(i + 1)])
+    diagonal = mad.select("gid", F.lit(0).alias("start"), *centre, *[(1 / F.col(f"b_{i}") if i == j else F.lit(0.0)).alias(f"k_{i}_{j}") for i in p for j in range(i + 1)])
     score = [F.round(F.tanh((F.col(f"_x_{n}") / GRID - F.col(f"a_{i}")) / F.col(f"b_{i}")) * SCORES).cast("long") for i, n in enumerate(NAMES)]
-    bounded = _factor(by_group(rows, mad, ["gid"], few).groupBy("gid").agg(*_sums(score)).withColumn("start", F.lit(1)), SCORES, [1 / SCORES] * len(NAMES))
-    bounded = bounded.select("gid", "start", *[f"l_{i}_{j}" for i in p for j in range(i + 1)]).join(mad, "gid").select("gid", "start", *centre, *[(F.col(f"l_{i}_{j}") * F.col(f"b_{i}")).alias(f"l_{i}_{j}") for i in p for j in range(i + 1)])
-    every = _factor(rows.groupBy("gid").agg(*_sums([F.col(f"_x_{n}") for n in NAMES])).withColumn("start", F.lit(2))).drop("logdet")
+    sums = common.materialize(by_group(rows, mad, ["gid"], few).groupBy("gid").agg(*_sums(score)).withColumn("start", F.lit(1)), "moments")
+    bounded = _factor(sums, SCORES, [1 / SCORES] * len(NAMES)).select("gid", "start", *INVERSE)
+    bounded = bounded.join(mad, "gid").select("gid", "start", *centre, *[(F.col(f"k_{i}_{j}") / F.col(f"b_{j}")).alias(f"k_{i}_{j}") for i in p for j in range(i + 1)])
+    sums = common.materialize(rows.groupBy("gid").agg(*_sums([F.col(f"_x_{n}") for n in NAMES])).withColumn("start", F.lit(2)), "moments")
+    every = _factor(sums).drop("logdet")
     return common.materialize(diagonal.unionByName(bounded).unionByName(every), "estimates")
 
 
@@ -190,7 +190,7 @@ def group_ids(vectors: DataFrame) -> DataFrame:
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """Estimates by (lang, source): ``_lang, _source, gid``, means ``m_*``, factors ``l_*_*``, scale ``c``."""
+    """Estimates by (lang, source): ``_lang, _source, gid``, means ``m_*``, inverse factors ``k_*_*``, scale ``c``."""
     v = stats.where(~F.col("base_failed") & (F.col("_fence") >= 0)).select(_key("lang").alias("_lang"), _key("source").alias("_source"), *[f"_x_{n}" for n in NAMES])
     v = common.materialize(v, "vectors")
     ids = common.materialize(group_ids(v), "groups")
@@ -215,7 +215,7 @@ def fit(stats: DataFrame) -> DataFrame:
     # reweighting: all rows within the inner quantile of the scaled distances
     b = _binned(rows, est.drop("done"), few)
     limit = b.groupBy("gid").agg(_bin(_scale(_median()) * F.lit(CHI_INNER)).alias("limit"))
-    inner = b.join(limit, "gid").where("bin <= limit").groupBy("gid", "start").agg(*[F.sum(c).alias(c) for c in ["n", *MOMENTS]])
+    inner = common.materialize(b.join(limit, "gid").where("bin <= limit").groupBy("gid", "start").agg(*[F.sum(c).alias(c) for c in ["n", *MOMENTS]]), "moments")
     est = common.materialize(_factor(inner).drop("logdet"), "estimates")
     scale = _binned(rows, est, few).groupBy("gid").agg(F.max("total").alias("n"), F.greatest(F.lit(1.0), _scale(_median())).alias("c"))
     est = est.drop("start").join(scale.where(F.col("n") >= MIN_GROUP), "gid")
