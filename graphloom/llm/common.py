@@ -52,23 +52,26 @@ def clear(spark: SparkSession) -> None:
     MADE.clear()
 
 
-#: Spark's setting by which a query's shuffle files go when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings while a table is written: a query's shuffle files go when it has ended, and the driver keeps no long
+#: descriptions of plans.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "10000"}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The shuffle files behind it are deleted at once; the session's setting for that is as before afterwards.
+    The shuffle files behind it are deleted at once; the session's settings are as before afterwards.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING if spark.conf.isModifiable(k)}
     try:
+        for k in before:
+            spark.conf.set(k, WRITING[k])
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -226,7 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     each = [np.frombuffer(x, np.int32) for x in got["feature"].to_pylist()]
     value = np.frombuffer(b"".join(got["value"].to_pylist()), np.float32)
     stats = np.frombuffer(b"".join(got["stats"].to_pylist()), np.float32).reshape(-1, len(STATS))
-    return fit(np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each), value, stats, got["quality"].to_numpy().astype(float))
+    model = fit(np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each), value, stats, got["quality"].to_numpy().astype(float))
+    del got, each, value, stats
+    common.give_back()  # the driver has further stages to run
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

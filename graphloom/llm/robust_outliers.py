@@ -202,16 +202,14 @@ def fit(stats: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("gid").orderBy("logdet", "start"))
     est = common.materialize(est.withColumn("_n", first).where("_n = 1").drop("_n").withColumn("done", F.lit(False)), "estimates")
     for _ in range(MAX_STEPS):
-        going = est.where("not done")
-        if going.isEmpty():
+        if est.where("not done").isEmpty():
             break
-        old = going.select("gid", F.struct(*[c for c in est.columns if c not in ("gid", "done")]).alias("_old"))
-        left = going.select("gid")
-        new = _concentrate(rows.join(F.broadcast(left) if few else left, "gid", "left_semi"), going.drop("done"), few)
-        both = new.select("gid", F.struct(*[c for c in new.columns if c != "gid"]).alias("_new")).join(old, "gid")
-        better = F.col("_new.logdet") < F.col("_old.logdet") - F.lit(1e-9)
-        both = both.select("gid", F.when(better, F.col("_new")).otherwise(F.col("_old")).alias("_e"), (~better).alias("done")).select("gid", "_e.*", "done")
-        est = common.materialize(est.where("done").unionByName(both), "estimates")
+        going = est.where("not done").drop("done")
+        new = _concentrate(rows.join(F.broadcast(going.select("gid")) if few else going.select("gid"), "gid", "left_semi"), going, few)
+        new = new.select("gid", F.struct(*[c for c in new.columns if c != "gid"]).alias("_new"))
+        both = est.select("gid", "done", F.struct(*[c for c in est.columns if c not in ("gid", "done")]).alias("_old")).join(new, "gid", "left")
+        better = ~F.col("done") & F.coalesce(F.col("_new.logdet") < F.col("_old.logdet") - F.lit(1e-9), F.lit(False))
+        est = common.materialize(both.select("gid", F.when(better, F.col("_new")).otherwise(F.col("_old")).alias("_e"), (~better).alias("done")).select("gid", "_e.*", "done"), "estimates")
     # reweighting: all rows within the inner quantile of the scaled distances
     b = _binned(rows, est.drop("done"), few)
     limit = b.groupBy("gid").agg(_bin(_scale(_median()) * F.lit(CHI_INNER)).alias("limit"))
