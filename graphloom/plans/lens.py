@@ -1,5 +1,5 @@
 """A deterministic lens that reads star-schema tables as code facts, so that the graph operators can be run and
-compared at any scale: nations hold files, customers are symbols, closed orders are call sites, suppliers include.
+compared at any scale: nations hold files, customers are symbols, orders are call sites, suppliers include.
 
 The statements are plain SQL that Spark and DuckDB both run over the same tables.
 """
@@ -35,7 +35,7 @@ FROM (
          CASE WHEN o_orderkey % 13 = 0 THEN 'g' ELSE 'f' END || CAST((o_orderkey * 7) % m AS STRING) AS callee_name,
          CASE o_orderkey % 4 WHEN 0 THEN 'unqualified' WHEN 1 THEN 'qualified' WHEN 2 THEN 'member' ELSE 'indirect' END AS form,
          CAST(o_orderkey AS INT) AS start_byte, split_part(s.qualified_name, '::', 1) AS head, split_part(s.qualified_name, '::', 2) AS tail
-  FROM orders JOIN ({SYMBOLS_SQL}) s ON o_custkey = s.start_byte CROSS JOIN {NAMES} n WHERE o_orderstatus = 'F' AND s.role = 'definition' AND s.kind <> 'class'
+  FROM orders JOIN ({SYMBOLS_SQL}) s ON o_custkey = s.start_byte CROSS JOIN {NAMES} n WHERE s.role = 'definition' AND s.kind <> 'class'
 ) c
 """
 

@@ -508,5 +508,5 @@ SQL = {
     "integrity_checks": "SELECT 'x' AS rule, CAST(0 AS BIGINT) AS rows WHERE false",
     "incremental_diff": f"{_DIFF} SELECT change, count(*) AS n FROM diff GROUP BY 1",
     "reuse_plan": f"{_DIFF} SELECT path, change, change IN ('added', 'modified') AS parse FROM diff",
-    "page_links": "WITH l AS (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS t FROM pages) SELECT page_id, CAST(i - 1 AS BIGINT) AS place, t[i] AS target FROM l, range(1, 1000) r(i) WHERE i <= len(t)",
+    "page_links": "WITH l AS (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS t FROM pages) SELECT page_id, CAST(unnest(range(len(t))) AS BIGINT) AS place, unnest(t) AS target FROM l",
 }

@@ -10,6 +10,7 @@ from pyspark.sql.types import DataType
 
 from graphloom.functions.scalars import SYMBOL_KINDS, SYMBOL_ROLES
 from graphloom.operators.resolve import RANGE
+from graphloom.operators.shipping import ship
 from graphloom.sources import c_facts, python_facts
 
 FACTS = {
@@ -51,6 +52,7 @@ def analyze(path: str, language: str, content: bytes) -> dict:
 
 def analyses(files: DataFrame) -> DataFrame:
     """One row per file: ``path, language, content_fingerprint, size_bytes, status`` and an array of each kind of fact."""
+    ship(files.sparkSession)
     schema = files.select("path", "language", "content_fingerprint", "size_bytes").schema
     schema = schema.add("status", "string")
     for name, kind in FACTS.items():

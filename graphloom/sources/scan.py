@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.shipping import ship
+
 # Fixed values.
 EXTENSIONS = (".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx", ".inc", ".py", ".pyi")
 PRUNED = (".git", ".hg", ".svn", ".graphloom", "build", "out", "dist", "node_modules")
@@ -64,6 +66,7 @@ def fnv_many(contents: list[bytes]) -> list[str]:
 
 def fingerprints(files: DataFrame) -> DataFrame:
     """``content`` replaced by ``content_fingerprint``."""
+    ship(files.sparkSession)
     keep = [c for c in files.columns if c != "content"]
     schema = files.select(*keep).schema.add("content_fingerprint", "string")
 
@@ -117,6 +120,7 @@ def scan(root: str) -> Scan:
 
 def read_files(spark: SparkSession, result: Scan, partitions: int | None = None) -> DataFrame:
     """``path, language, size_bytes, content, content_fingerprint`` of scanned files, read on executors."""
+    ship(spark)
     rows = spark.createDataFrame(result.files, "path string, language string, size_bytes long").repartition(partitions or spark.sparkContext.defaultParallelism)
     top = result.root
 
