@@ -87,18 +87,18 @@ def symbols_selected(spark, d):
 
 
 def callees(spark, d):
-    c = _calls(lens.facts(spark, d))
+    c = traverse.cut(_calls(lens.facts(spark, d)))
     top = c.where("source_symbol is not null").groupBy(graph.key("source_symbol").alias("k")).count().orderBy(F.desc("count"), "k").first()
     return flat(graph.callees(c, top[0] if top else ""))
 
 
 def callers(spark, d):
-    c = _calls(lens.facts(spark, d))
+    c = traverse.cut(_calls(lens.facts(spark, d)))
     return flat(graph.callers(c, busiest(c)))
 
 
 def symbol_counts(spark, d):
-    c = _calls(lens.facts(spark, d))
+    c = traverse.cut(_calls(lens.facts(spark, d)))
     return graph.symbol_counts(c, busiest(c))
 
 
@@ -268,7 +268,7 @@ def integrity_planted(spark, d):
     from graphloom.sources.store import violations
 
     f = lens.facts(spark, d)
-    e = _edges(f)
+    e = traverse.cut(_edges(f))
     nations = spark.read.parquet(f"{d}/nation.parquet").crossJoin(f["files"].agg(F.min("path").alias("known")))  # one row
     name = F.col("n_nationkey").cast("string")
     none, symbol = F.lit(None), lambda path: F.struct(path.alias("path"), F.lit("x").alias("qualified_name"), F.lit("definition").alias("role"), F.lit(0).alias("start_byte")).cast(resolve.SYMBOL)
@@ -302,7 +302,7 @@ def integrity_checks(spark, d):
     from graphloom.sources.store import violations
 
     f = lens.facts(spark, d)
-    return violations(f["files"], f["symbols"], _edges(f))
+    return violations(f["files"], f["symbols"], traverse.cut(_edges(f)))
 
 
 def _snapshots(spark, d):
