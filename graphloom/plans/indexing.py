@@ -63,16 +63,16 @@ def index(spark: SparkSession, repository: str, store_root: str | None = None) -
         changed = incremental.changes(old["files"], files)
     changed = cut(changed)
     by = {r["change"]: r["count"] for r in changed.groupBy("change").count().collect()}
-    parse: set[str] = set()
+    parsed = 0
     if old is not None and not set(by) - {"unchanged"}:  # the active run has these facts, and their edges
         lap("parse")
         tables = old
         lap("relationships")
         store.renew()
     else:
-        parse = {r["path"] for r in changed.where("change in ('added', 'modified')").select("path").collect()}
-        wanted = scanning.Scan(found.root, [f for f in found.files if f[0] in parse])
-        fresh = cut(analyses(scanning.read_files(spark, wanted)))
+        parsed = by.get("added", 0) + by.get("modified", 0)
+        wanted = files.join(changed.where("change in ('added', 'modified')").select("path"), "path", "left_semi")
+        fresh = cut(analyses(scanning.read_contents(wanted, found.root, parsed)))
         status = fresh.select("path", "language", "content_fingerprint", "size_bytes", incremental.parse_status("status", "diagnostics").alias("parse_status"))
         facts = {name: fact_table(fresh, name) for name in ("symbols", "includes", "calls", "diagnostics")}
         if old is not None:
@@ -86,7 +86,7 @@ def index(spark: SparkSession, repository: str, store_root: str | None = None) -
         store.replace(tables)
     lap("persistence")
     took["total_ms"] = round((time.perf_counter() - begun) * 1000)
-    counts = {"files": len(found.files), "parsed": len(parse), "reused": by.get("unchanged", 0), **{k: by.get(k, 0) for k in ("added", "modified", "unchanged", "deleted")}}
+    counts = {"files": len(found.files), "parsed": parsed, "reused": by.get("unchanged", 0), **{k: by.get(k, 0) for k in ("added", "modified", "unchanged", "deleted")}}
     counts |= {t: tables[t].count() for t in TABLES if t not in ("files",)}
     counts |= resolve.resolution_counts(tables["relationships"]).first().asDict()
     return IndexResult(counts, took, found.warnings)

@@ -21,6 +21,8 @@ from graphloom.operators.shipping import ship
 EXTENSIONS = (".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx", ".inc", ".py", ".pyi")
 PRUNED = (".git", ".hg", ".svn", ".graphloom", "build", "out", "dist", "node_modules")
 MAX_BYTES = 16 * 1024 * 1024
+#: Files that one task reads, from which more tasks are made.
+FILES_A_TASK = 2000
 
 
 def extension(path):
@@ -118,11 +120,16 @@ def scan(root: str) -> Scan:
     return Scan(top, sorted((p, *v) for p, v in found.items()), sorted(warnings))
 
 
-def read_files(spark: SparkSession, result: Scan, partitions: int | None = None) -> DataFrame:
-    """``path, language, size_bytes, content, content_fingerprint`` of scanned files, read on executors."""
+def listed(spark: SparkSession, result: Scan) -> DataFrame:
+    """``path, language, size_bytes`` of scanned files."""
+    return spark.createDataFrame(result.files, "path string, language string, size_bytes long")
+
+
+def read_contents(files: DataFrame, top: str, n: int) -> DataFrame:
+    """Files (``path, language, size_bytes``, ``n`` of them) with ``content, content_fingerprint``, read on executors."""
+    spark = files.sparkSession
     ship(spark)
-    rows = spark.createDataFrame(result.files, "path string, language string, size_bytes long").repartition(partitions or spark.sparkContext.defaultParallelism)
-    top = result.root
+    rows = files.select("path", "language", "size_bytes").repartition(max(spark.sparkContext.defaultParallelism, n // FILES_A_TASK))
 
     def run(batches):
         for b in batches:
@@ -135,3 +142,8 @@ def read_files(spark: SparkSession, result: Scan, partitions: int | None = None)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.binary()), pa.array(fnv_many(contents), pa.string())], names=["path", "language", "size_bytes", "content", "content_fingerprint"])
 
     return rows.mapInArrow(run, "path string, language string, size_bytes long, content binary, content_fingerprint string")
+
+
+def read_files(spark: SparkSession, result: Scan) -> DataFrame:
+    """All scanned files with ``content, content_fingerprint``."""
+    return read_contents(listed(spark, result), result.root, len(result.files))
