@@ -106,3 +106,41 @@ def test_empty_tables(spark, tmp_path):
         spark.read.parquet(f"{D}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
     for name in ("callees", "callers", "file_definitions", "file_outgoing", "path_confirmed", "path_possible", "path_confirmed_steps", "path_possible_steps", "impact_confirmed"):
         assert queries.QUERIES[name](spark, f"file://{tmp_path}").count() == 0
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from graphloom.plans import queries
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", *[queries.QUERIES[q](spark, sys.argv[2]).count() > 0 for q in ("fingerprint_files", "extract_calls")])
+"""
+
+
+@need
+def test_workers_get_the_package(tmp_path):
+    """Python workers that start elsewhere, without the package on their path."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", ELSEWHERE, root, D], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300, check=False)
+    assert "rows True True" in done.stdout, done.stderr[-2000:]
+
+
+def test_candidate_sets_and_hot_names(spark):
+    """A name that most calls share: one candidate set, every edge with all of it in order; null names find nothing."""
+    place = lambda i: (i, 1, i, 2, i, i + 1)
+    files = spark.createDataFrame([("a.cpp", "cpp"), ("b.cpp", "cpp")], "path string, language string")
+    symbols = spark.createDataFrame([(p, "function", "definition", "get", f"{n}::get", "get()", place(i)) for i, (p, n) in enumerate([("b.cpp", "y"), ("a.cpp", "x"), ("a.cpp", "z")])] + [("a.cpp", "function", "definition", "one", "one", "one()", place(9))], f"path string, kind string, role string, name string, qualified_name string, signature string, range {resolve.RANGE}")
+    calls = spark.createDataFrame([("a.cpp", "one", 9, "get", "get", "unqualified", 0, place(100 + i)) for i in range(50)] + [("a.cpp", "one", 9, "one", "one", "unqualified", 0, place(20)), ("b.cpp", None, None, None, None, "member", 0, place(30))], f"path string, caller_qualified_name string, caller_start_byte int, callee_text string, callee_name string, form string, argument_count int, range {resolve.RANGE}")
+    sets = resolve.candidate_sets(resolve.callables(symbols, files)).collect()
+    assert [(r["set"], [x.qualified_name for x in r.found]) for r in sets] == [("sget", ["x::get", "y::get", "z::get"])]
+    edges = resolve.call_edges(calls, symbols, files).collect()
+    assert len(edges) == 52
+    hot = [e for e in edges if e.resolution == "ambiguous"]
+    assert len(hot) == 50 and all([(c["rank"], c.target_symbol.qualified_name) for c in e.candidates] == [(1, "x::get"), (2, "y::get"), (3, "z::get")] and e.candidate_count == 3 for e in hot)
+    rest = sorted((e.resolution, e.target_symbol and e.target_symbol.qualified_name, e.candidate_count, e.candidates) for e in edges if e.resolution != "ambiguous")
+    assert rest == [("resolved", "one", 0, None), ("unresolved", None, 0, None)]
