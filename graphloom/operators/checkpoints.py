@@ -43,3 +43,8 @@ def numbered(df: DataFrame, order: list[Column | str], n: int, name: str = "pos"
 def small(df: DataFrame, n: int) -> DataFrame:
     """A hint to broadcast a table that has been counted to be small."""
     return F.broadcast(df) if n <= FEW else df
+
+
+def kept(df: DataFrame, n: int) -> DataFrame:
+    """A table that cheap steps derive from a checkpoint, checkpointed too if it has been counted to be large."""
+    return df if n <= FEW else cut(df)

@@ -6,7 +6,8 @@ node is the one that a queue would have found first. Places number the frontier
 
 Edges are partitioned by the end that frontiers are joined to, once. A frontier that is counted to be small is
 broadcast, so that its level moves no edges; a larger one is shuffled to the edges' partitions and numbered by ranges.
-Every level is checkpointed, so plans stay short and a lost executor costs no more than a level.
+Every level is checkpointed, so plans stay short and a lost executor costs no more than a level; the numbers of a small one
+are worked out again instead.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as s
-from graphloom.operators.checkpoints import cut, numbered, small
+from graphloom.operators.checkpoints import cut, kept, numbered, small
 from graphloom.operators.graph import key
 
 
@@ -63,7 +64,7 @@ def impact(resolved: DataFrame, ambiguous: DataFrame, seeds: DataFrame) -> tuple
         if not n:
             break
         levels.append(new)
-        frontier = cut(new.select("node", "pos", "depth"))
+        frontier = kept(new.select("node", "pos", "depth"), n)
         visited, reached = visited.unionByName(frontier), reached + n
         if depth % 8 == 0:
             visited = cut(visited)
@@ -107,7 +108,7 @@ def _search(links: DataFrame, source: str, target: str) -> list[dict] | None:
         parents.append(new)
         if found:
             break
-        frontier = cut(numbered(new, ["_rank", "node"], n).select("node", "pos"))
+        frontier = kept(numbered(new, ["_rank", "node"], n).select("node", "pos"), n)
         visited, reached = visited.unionByName(frontier), reached + n
         if len(parents) % 8 == 0:
             visited = cut(visited)
