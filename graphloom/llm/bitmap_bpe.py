@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ CHUNK_BYTES = 6_000_000
 SHORT = 64
 #: So many at a time; bounds memory.
 SIDE_BY_SIDE = 200_000
+#: Positions whose pairs are looked up, and pieces whose ids are written out, at a time; bounds memory.
+PAIRS_AT_ONCE, PIECES_AT_ONCE = 100_000, 20_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -123,6 +126,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.decimal = list(map(str, range(max(ranks.values(), default=-1) + 1)))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -234,6 +238,7 @@ def merge_many(encoder: Encoder, pairs: Pairs, tokens: list[bytes]) -> tuple[np.
 
     One queue serves all lists: a pop takes the lowest rank's bucket and merges, in each pre-token, its
     leftmost live position; further ones of that pre-token wait in the bucket, as a lower rank may come first.
+    Most positions wait from the start: in a bucket, -1 - k stands for the k-th run of them.
     """
     lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ids = pairs.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
@@ -258,12 +263,19 @@ def merge_many(encoder: Encoder, pairs: Pairs, tokens: list[bytes]) -> tuple[np.
         for r, p in zip(ranks[np.concatenate([[0], cuts])].tolist() if len(ranks) else (), np.split(at, cuts), strict=False):
             queue.add(r, p.tolist())
 
-    left = np.flatnonzero(after >= 0)
-    wait[left] = pairs.rank(ids[left], ids[left + 1])
-    put(left)
+    for i in range(0, n, PAIRS_AT_ONCE):
+        left = np.flatnonzero(after[i : i + PAIRS_AT_ONCE] >= 0) + i
+        wait[left] = pairs.rank(ids[left], ids[left + 1])
+    begun = np.flatnonzero(wait >= 0).astype(np.int32)
+    begun = begun[np.argsort(wait[begun], kind="stable")]
+    cuts = np.flatnonzero(np.diff(wait[begun], prepend=-1, append=-1)).tolist()
+    for k, r in enumerate(wait[begun[cuts[:-1]]].tolist()):
+        queue.add(r, (-1 - k,))
     while (top := queue.take()) is not None:
         rank, at = top
         at = np.array(at, np.int64)
+        if (run := int(at.min())) < 0:  # one run has a rank
+            at = np.concatenate([at[at >= 0], begun[cuts[-1 - run] : cuts[-run]]])
         at = at[wait[at] == rank]  # the others are stale
         if not len(at):
             continue
@@ -330,9 +342,9 @@ def encode_texts(encoder: Encoder, pairs: Pairs, texts: pa.Array) -> list[tuple[
         else:
             first, _, _ = text.partition(" ")
             words.append(np.concatenate([np.array([add(first)] if first else [], np.int64), index[a + 1 : b]]))
+    del lists, flat, coded, index
     tokens: dict[str, int] = {}
-    flat_tokens: list[int] = []
-    starts = [0]
+    flat_tokens, starts = array("i"), array("i", [0])
     for piece in names:
         if piece.isascii() and (piece[0] == " " or piece[0].isalpha()) and piece[1:].isalpha():  # one pre-token
             flat_tokens.append(tokens.setdefault(piece, len(tokens)))
@@ -340,32 +352,42 @@ def encode_texts(encoder: Encoder, pairs: Pairs, texts: pa.Array) -> list[tuple[
             for t in encoder.find(piece):
                 flat_tokens.append(tokens.setdefault(t, len(tokens)))
         starts.append(len(flat_tokens))
-    tokens = {t.encode("utf-8"): i for t, i in tokens.items()}
-    order = list(tokens)
+    n_pieces = len(names)
+    del names, known
+    order = [t.encode("utf-8") for t in tokens]
+    del tokens
     get = encoder.ranks.get
-    pool = np.fromiter((get(t, -1) for t in order), np.int64, len(order))
+    pool = np.fromiter((get(t, -1) for t in order), np.int32, len(order))
     start, count = np.arange(len(order)), np.ones(len(order), np.int64)
-    split = np.flatnonzero(pool < 0).tolist()
-    short = [i for i in split if len(order[i]) <= SHORT]
+    split = np.flatnonzero(pool < 0)
+    is_short = np.fromiter((len(order[i]) <= SHORT for i in split), bool, len(split))
+    short, long = split[is_short], split[~is_short]
     pools, held = [pool], len(pool)
     for some in (short[i : i + SIDE_BY_SIDE] for i in range(0, len(short), SIDE_BY_SIDE)):
         ids, at = merge_many(encoder, pairs, [order[i] for i in some])
         start[some], count[some] = held + at[:-1], np.diff(at)
         pools.append(ids)
         held += len(ids)
-    for i in split:
-        if len(order[i]) > SHORT:
-            pools.append(np.array(encoder.merge(order[i]), np.int64))
-            start[i], count[i] = held, len(pools[-1])
-            held += len(pools[-1])
-    # ids of each piece, end to end
-    flat_ids, piece_at = gather(np.concatenate(pools), start, count, np.array(flat_tokens, np.int64), np.array(starts))
-    decimal = list(map(str, flat_ids.tolist()))
-    said = [" ".join(decimal[a:b]).encode() for a, b in zip(piece_at[:-1].tolist(), piece_at[1:].tolist(), strict=True)]
-    ends = np.concatenate([[0], np.cumsum(pairs.length[flat_ids])])[piece_at].tolist()
-    plain = pairs.decode(flat_ids).tobytes()
-    back = [plain[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    sizes = np.diff(piece_at)
+    for i in long:
+        pools.append(np.array(encoder.merge(order[i]), np.int32))
+        start[i], count[i] = held, len(pools[-1])
+        held += len(pools[-1])
+    del order
+    pool, flat_tokens, starts = np.concatenate(pools), np.frombuffer(flat_tokens, np.int32), np.frombuffer(starts, np.int32)
+    del pools
+    sizes = [np.zeros(0, np.int64)]
+    said: list[bytes] = []
+    back: list[bytes] = []
+    for i in range(0, n_pieces, PIECES_AT_ONCE):  # ids of each piece, end to end
+        at = starts[i : i + PIECES_AT_ONCE + 1]
+        flat_ids, piece_at = gather(pool, start, count, flat_tokens[at[0] : at[-1]], at - at[0])
+        decimal = list(map(encoder.decimal.__getitem__, flat_ids.tolist()))
+        said += [" ".join(decimal[a:b]).encode() for a, b in zip(piece_at[:-1].tolist(), piece_at[1:].tolist(), strict=True)]
+        ends = np.concatenate([[0], np.cumsum(pairs.length[flat_ids])])[piece_at].tolist()
+        plain = pairs.decode(flat_ids).tobytes()
+        back += [plain[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        sizes.append(np.diff(piece_at))
+    sizes = np.concatenate(sizes)
     return [(int(sizes[x].sum()), b" ".join([said[w] for w in y]), b"".join([back[w] for w in y])) for x in words for y in (x.tolist(),)]
 
 
@@ -392,7 +414,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
         encoder, pairs = Encoder(table.value[0], pattern), table.value[1]
         for keys, texts in common.chunks(batches, CHUNK_BYTES):
             n, said, plain = zip(*encode_texts(encoder, pairs, texts), strict=True)
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
                     keys.cast(schema.field(0).type),
                     pa.array(n, pa.int64()),
@@ -401,6 +423,9 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
                 ],
                 schema=schema,
             )
+            del keys, texts, n, said, plain  # nothing of a chunk stays for the next one
+            common.trim()
+            yield out
 
     return docs.select(docs[key].cast(kind).alias(key), docs[text].cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 import public_tokenizers as public
 import pyarrow as pa
@@ -94,3 +98,28 @@ def test_frame(spark):
     rows = sorted(b.encode_documents(df, RANKS, PATTERN).collect(), key=str)
     assert [(r.doc_id, r.n_tokens) for r in rows] == [(1, 2), (1, 2), (2, 0), (None, 0)]
     assert b.encode_documents(df.limit(0), RANKS, PATTERN).count() == 0
+
+
+PEAK = """
+import random, sys
+import pyarrow as pa
+import public_tokenizers as public
+from graphloom.llm import bitmap_bpe as b
+
+ranks, pattern = b.production_ranks()
+encoder, pairs, rng = b.Encoder(ranks, pattern), b.Pairs(ranks), random.Random(3)
+words = ["".join(rng.choices("abdehinorstu", k=rng.randint(6, 12))) for _ in range(200_000)]
+texts = pa.array([" ".join(rng.choices(words, k=600)) for _ in range(1000)], pa.large_string())
+peak = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmHWM")).split()[1]) >> 10
+b.encode_texts(encoder, pairs, texts.slice(0, 1))
+open("/proc/self/clear_refs", "w").write("5")
+before = peak()
+b.encode_texts(encoder, pairs, texts)
+print(peak() - before)
+"""
+
+
+def test_memory_of_a_chunk():
+    """Two of these and a full JVM heap share an executor's 3000 MB."""
+    got = subprocess.run([sys.executable, "-c", PEAK], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(got.stdout) < 190
