@@ -35,6 +35,8 @@ SHINGLE, THRESHOLD = 3, 2
 CHUNK_BYTES = 8_000_000
 #: Pairs that a task compares at once, and members from which a bucket is searched by flipping bits instead.
 PAIRS_AT_ONCE, FLIP_FROM = 2_000_000, 20_000
+#: Words that are joined, and shingles that are cut out of them and hashed, at a time; bounds memory.
+SHINGLES_AT_ONCE = 50_000
 #: Replicas that a task gathers before it compares those of whole anchors, and nodes to a task (some 61 replicas each).
 ROWS_AT_ONCE, NODES_A_TASK = 500_000, 200_000
 
@@ -72,7 +74,7 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     n = len(texts)
     per = np.bincount(owner, minlength=n)
     size = pc.binary_length(flat).to_numpy().astype(np.int64)
-    joined = b" ".join(flat.cast(pa.large_binary()).to_pylist())
+    joined = b" ".join(b" ".join(flat[i : i + SHINGLES_AT_ONCE].cast(pa.large_binary()).to_pylist()) for i in range(0, len(flat), SHINGLES_AT_ONCE))
     ends = np.cumsum(size + 1) - 1
     begins = ends - size
     last = np.cumsum(per)
@@ -82,8 +84,10 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     starts = np.concatenate([[0], np.cumsum(count)])
     at = np.repeat(first - starts[:-1], count) + np.arange(starts[-1])
     until = np.minimum(at + shingle - 1, np.repeat(last - 1, count))
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(begins[at].tolist(), ends[until].tolist(), strict=True)), np.uint64, len(at))
+    h, hashes = xxhash.xxh64_intdigest, np.empty(len(at), np.uint64)
+    for i in range(0, len(at), SHINGLES_AT_ONCE):
+        some = slice(i, i + SHINGLES_AT_ONCE)
+        hashes[some] = [h(joined[a:b], SEED) for a, b in zip(begins[at[some]].tolist(), ends[until[some]].tolist(), strict=True)]
     return majority(hashes, starts)
 
 
@@ -95,7 +99,10 @@ def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     @common.tidy
     def run(batches):
         for keys, texts in common.chunks(batches, CHUNK_BYTES):
-            yield pa.RecordBatch.from_arrays([keys, pa.array(fingerprints(texts, shingle).view(np.int64))], schema=schema)
+            out = pa.RecordBatch.from_arrays([keys, pa.array(fingerprints(texts, shingle).view(np.int64))], schema=schema)
+            del keys, texts  # nothing of a chunk stays for the next one
+            common.trim()
+            yield out
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, fp long")
 

@@ -1,6 +1,9 @@
 import itertools
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -98,3 +101,33 @@ def test_against_brute_force(spark):
     want = plain_classes(fps, [r[0] for r in rows])
     assert sorted(map(tuple, got)) == sorted((r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, want))
     assert a.simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+PEAK = """
+import random
+import pyarrow as pa
+from graphloom.llm import anchor_simhash as a
+
+rng = random.Random(3)
+words = ["".join(rng.choices("abdehinorstu", k=rng.randint(3, 9))) for _ in range(100_000)]
+texts = pa.array([" ".join(rng.choices(words, k=1200)) for _ in range(1000)], pa.large_string())
+peak = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmHWM")).split()[1]) >> 10
+a.fingerprints(texts.slice(0, 1))
+open("/proc/self/clear_refs", "w").write("5")
+before = peak()
+a.fingerprints(texts)
+print(peak() - before)
+"""
+
+
+def test_memory_of_a_chunk():
+    """The pipeline runs two of these beside a JVM heap that earlier stages have filled."""
+    got = subprocess.run([sys.executable, "-c", PEAK], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(got.stdout) < 175
+
+
+def test_blocks_of_a_chunk(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["a", "Bc", "é", "def"], k=n)) for n in (0, 1, 2, 3, 4, 30, 0, 7)]
+    monkeypatch.setattr(a, "SHINGLES_AT_ONCE", 5)
+    assert a.fingerprints(pa.array(texts, pa.large_string())).tolist() == [plain_fingerprint(t) for t in texts]

@@ -123,3 +123,15 @@ def test_memory_of_a_chunk():
     """Two of these and a full JVM heap share an executor's 3000 MB."""
     got = subprocess.run([sys.executable, "-c", PEAK], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
     assert int(got.stdout) < 190
+
+
+def test_blocks_of_a_chunk(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abenrstéth,'1", k=rng.randint(1, 80))) for _ in range(n)) for n in (0, 1, 40, 0, 9)]
+    monkeypatch.setattr(b, "PAIRS_AT_ONCE", 7)
+    monkeypatch.setattr(b, "PIECES_AT_ONCE", 3)
+    monkeypatch.setattr(b, "SIDE_BY_SIDE", 10)
+    got = b.encode_texts(ENC, PAIRS, pa.array(texts, pa.large_string()))
+    assert [x[1:] for x in got] == [(" ".join(map(str, LIB.encode_ordinary(t))).encode(), t.encode()) for t in texts]
